@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import gif, packing, simhash, toxicity
 from .common import table
 
 
@@ -14,5 +14,21 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash,)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.read_back(gif.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = toxicity.judged(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return got.select("doc_id", "held_out", "score", "predicted", "ll_toxic", "ll_ordinary")
+
+
+QUERIES = {f.__name__: f for f in (op1_gif, op2_simhash, op3_toxicity, op10_packing)}
 ORACLES: dict[str, str] = {}
