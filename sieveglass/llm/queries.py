@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, packing, simhash, toxicity
+from . import decontamination, gif, packing, simhash, toxicity
 from .common import table
 
 
@@ -30,5 +30,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "score", "predicted", "ll_toxic", "ll_ordinary")
 
 
-QUERIES = {f.__name__: f for f in (op1_gif, op2_simhash, op3_toxicity, op10_packing)}
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_gif, op2_simhash, op3_toxicity, op4_decontamination, op10_packing)}
 ORACLES: dict[str, str] = {}

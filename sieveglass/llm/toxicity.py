@@ -138,7 +138,7 @@ def _tables(grams: DataFrame) -> tuple:
     """Bounded tables of the counts and the totals over all of them."""
     sums = grams.groupBy("kind", "left", "word").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")).persist()
     try:
-        of = {r.kind: r for r in sums.groupBy("kind").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count_if("t > 0").alias("vt"), F.count_if("o > 0").alias("vo"), F.count("*").alias("n")).collect()}
+        of = {r.kind: r for r in sums.groupBy("kind").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count_if(F.col("t") > 0).alias("vt"), F.count_if(F.col("o") > 0).alias("vo"), F.count("*").alias("n")).collect()}
         contexts = sums.where("kind = 1").groupBy("word").agg(F.count("*").alias("left_kinds"))
         n_words = of[0].n if 0 in of else 0
         words = sums.where("kind = 0").join(contexts, "word").orderBy(F.desc(F.col("t") + F.col("o")), "word").limit(TABLE).select("word", "t", "o", "left_kinds").toArrow()
