@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, gif, packing, simhash, toxicity
+from . import decontamination, gif, maxent, packing, simhash, toxicity
 from .common import table
 
 
@@ -34,5 +34,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_gif, op2_simhash, op3_toxicity, op4_decontamination, op10_packing)}
+def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_gif, op2_simhash, op3_toxicity, op4_decontamination, op9_maxent, op10_packing)}
 ORACLES: dict[str, str] = {}
