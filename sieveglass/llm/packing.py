@@ -33,8 +33,10 @@ from .common import checkpointed
 SEQUENCE = 2048
 WINDOW_SEQUENCES = 16
 END = 1
-#: Word pieces that a worker keeps; the least costly memory is a bounded one.
-CACHE = 200_000
+#: Word pieces that a worker keeps before they become the older generation.
+CACHE = 400_000
+#: ASCII marks that may be cut from the end of a piece; the apostrophe begins pieces of its own.
+_MARKS = b'.,!?;:%$&*#|"()[]{}<>+=/@^~-_'
 #: Rows of (partition, source) totals up to which they are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 100_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -42,27 +44,72 @@ _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id
 
 
 class WordTokenizer:
-    """Ids of a tokenizer that drops white space: pieces between ASCII white space are looked up, new ones encoded together."""
+    """Ids of a tokenizer that drops white space and ignores ASCII case.
+
+    Pieces between ASCII white space are looked up; of those that are new, the
+    ASCII marks at the end are looked up apart, since the tokenizer never joins
+    a letter and a mark. What is left is encoded in one call. Two generations of
+    CACHE pieces each are kept.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _encode(self, new: list[bytes]) -> None:
+        """Encode pieces that are not known yet."""
+        for at in range(0, len(new), 4096):
+            part = [p.decode("utf-8") for p in new[at : at + 4096]]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            start = np.cumsum([0, *(len(p) + 1 for p in part)])
+            ids = np.array(e.ids, self.dtype)
+            cut = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), start)
+            for k, piece in enumerate(new[at : at + 4096]):
+                self.known[piece] = ids[cut[k] : cut[k + 1]].tobytes()
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        """Make every one of the pieces known."""
+        known, older = self.known, self.older
+        parts: list[tuple[bytes, bytes, bytes]] = []
+        new: dict[bytes, None] = {}
+        for p in pieces:
+            if p in older:
+                known[p] = older[p]
+                continue
+            core = p.rstrip(_MARKS)
+            last = core[-1:]
+            if len(core) < len(p) and (b"a" <= last <= b"z" or last >= b"\x80" and core.decode("utf-8")[-1].lower()[-1].isalpha()):
+                marks = p[len(core) :]
+                parts.append((p, core, marks))
+                for x in (core, marks):
+                    if x not in known:
+                        if x in older:
+                            known[x] = older[x]
+                        else:
+                            new[x] = None
+            else:
+                new[p] = None
+        self._encode([*new])
+        for p, core, marks in parts:
+            known[p] = known[core] + known[marks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known, out = self.known, []
-        end = np.array([END], self.dtype).tobytes()
-        for text in texts:
-            pieces = [p.decode("utf-8") for p in text.encode("utf-8", "replace").split()] if text else []
-            if len(known) > CACHE:
-                known.clear()
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
-            if new:
-                for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, self.dtype).tobytes()
-            out.append(b"".join([*map(known.__getitem__, pieces), end]))
+        """Ids with the end token, as little-endian numbers."""
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        lower = [t.encode("utf-8", "replace").lower() if t else b"" for t in texts]
+        whole = {i for i, t in enumerate(lower) if any(s in t for s in self.special)}  # strings of special tokens depend on case
+        split = [[] if i in whole else t.split() for i, t in enumerate(lower)]
+        self._learn(set().union(*split).difference(self.known))
+        end, get = np.array([END], self.dtype).tobytes(), self.known.__getitem__
+        out = [b"".join([*map(get, pieces), end]) for pieces in split]
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes() + end
         return out
 
 
@@ -81,8 +128,8 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, before, part = tokenizer(path), {}, TaskContext.get().partitionId()
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                c = b.slice(at, 512)
+            for at in range(0, b.num_rows, 1024):
+                c = b.slice(at, 1024)
                 ids = tok.encode(c.column(2).to_pylist())
                 sources = c.column(1).to_pylist()
                 n = [len(x) // tok.dtype.itemsize for x in ids]

@@ -67,5 +67,17 @@ def test_pieces_hold_the_documents(spark):
     assert sorted(filled) == list(range(len(filled)))
 
 
+def test_tokenizer_is_exact():
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(PATH), P.WordTokenizer(PATH)
+    rng = random.Random(9)
+    marks = list("abcXYZ'.,!?-_\"<|> \n\t09") + ["é", "É", "ß", "ü.", "“", "—", "½", "²", "\u0301", "\u00a0", "中", "'s", "'re", "İ", "Σ", "<|endoftext|>", "\u2028"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 60))) for _ in range(5)]
+        got = [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)]
+        assert got == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_empty_table(spark):
     assert P.packed(spark.createDataFrame([], "doc_id long, text string, source string"), PATH).collect() == []
