@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, gif, maxent, packing, simhash, toxicity
+from . import decontamination, gif, maxent, packing, quality, simhash, toxicity
 from .common import table
 
 
@@ -38,5 +38,10 @@ def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_gif, op2_simhash, op3_toxicity, op4_decontamination, op9_maxent, op10_packing)}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judged(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_gif, op2_simhash, op3_toxicity, op4_decontamination, op7_quality, op9_maxent, op10_packing)}
 ORACLES: dict[str, str] = {}
