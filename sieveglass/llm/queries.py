@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, gif, maxent, packing, quality, simhash, toxicity
+from . import decontamination, gif, maxent, packing, quality, secret_forest, simhash, toxicity
 from .common import table
 
 
@@ -43,5 +43,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_gif, op2_simhash, op3_toxicity, op4_decontamination, op7_quality, op9_maxent, op10_packing)}
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    words = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"))
+    found = secret_forest.scan(docs, secret_forest.train(words), words, path_col="path")
+    return found.select("doc_id", "start", "end", "candidate_sha256", "score", "secret")
+
+
+QUERIES = {f.__name__: f for f in (op1_gif, op2_simhash, op3_toxicity, op4_decontamination, op7_quality, op8_secrets, op9_maxent, op10_packing)}
 ORACLES: dict[str, str] = {}
