@@ -216,3 +216,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         out = out.unionByName(rows.mapInArrow(run, SCHEMA))
     return out
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that hold no item, in the same columns."""
+    spark, at, kept = docs.sparkSession, docs.columns.index(text_col), docs
+    for part in blocks(benchmark, item_col, item_text):
+        shared = spark.sparkContext.broadcast(prepare(part, docs, text_col))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block = shared.value
+            for b in batches:
+                yield b.filter(pa.array([not matches(tokens(t.as_py()), block, threshold) for t in b.column(at)], pa.bool_()))
+
+        kept = kept.mapInArrow(run, docs.schema)
+    return kept

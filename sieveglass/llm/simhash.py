@@ -9,7 +9,7 @@ condition and only then against the full Hamming distance.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; repeated rows and ids keep one output row each; an empty table gives an
-empty result; columns besides the id and the text are ignored.
+empty result; rows without an id are left out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit number."""
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     return ids.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
@@ -297,3 +297,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(distinct))
     of = distinct.join(found, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("component", "root").alias("component_id"))
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with the smallest id of each class, in the same columns; rows without an id stay as they are."""
+    kept = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    ids = F.col(id_col).cast("long")
+    one = docs.join(kept, ids == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -281,3 +281,17 @@ def judged(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = No
     """Scores with held_out and predicted; labels of held-out rows are never read."""
     model = train(docs if train_docs is None else train_docs, labels, crc_mod("doc_id", 3) != 1)
     return score(docs, model).withColumn("held_out", crc_mod("doc_id", 3) == 1).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score below the threshold, in the same columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, own = shared.value, {}
+        for b in batches:
+            f = np.array([m.features(tokens(t.as_py()), own) for t in b.column(at)]).reshape(-1, 6)
+            yield b.filter(pa.array(m.probability(f) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
