@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, gif, maxent, packing, quality, secret_forest, simhash, toxicity
-from .common import table
+from . import decontamination, gif, licenses, maxent, packing, quality, rollups, secret_forest, simhash, toxicity
+from .common import shared_folder, table
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +54,38 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "end", "candidate_sha256", "score", "secret")
 
 
-QUERIES = {f.__name__: f for f in (op1_gif, op2_simhash, op3_toxicity, op4_decontamination, op7_quality, op8_secrets, op9_maxent, op10_packing)}
-ORACLES: dict[str, str] = {}
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # documents have no paths: they lie 50 to a directory, whose first one is taken for its licence file
+    leaf = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 50).cast("string"))
+    upper = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"))
+    path = F.when(F.col("doc_id") % 1000 == 0, F.concat(upper, F.lit("/LICENSE"))).when(F.col("doc_id") % 50 == 0, F.concat(leaf, F.lit("/LICENSE"))).otherwise(F.concat(leaf, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted; then those labelled toxic are deleted and those of low quality revised; both batches arrive twice."""
+    ledger = rollups.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    first = docs.select(F.lit("insert").alias("op"), F.lit(1).alias("seq"), "*")
+    changed = docs.join(labels, "doc_id").where("toxic = 1 or quality = 0")
+    op = F.when(F.col("toxic") == 1, "delete").otherwise("revise")
+    second = changed.select(op.alias("op"), F.lit(2).alias("seq"), "doc_id", "source", "lang", F.replace("text", F.lit("|"), F.lit(" ")).alias("text"))
+    for batch, events in (("1", first), ("2", second), ("1", first), ("2", second)):
+        ledger.commit(batch, events)
+    return ledger.totals()
+
+
+OP6_SQL = r"""
+WITH l AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, source, lang, coalesce(CASE WHEN quality = 0 THEN replace(text, '|', ' ') ELSE text END, '') AS text
+      FROM documents LEFT JOIN l USING (doc_id) WHERE coalesce(toxic, 0) <> 1),
+c AS (SELECT source, lang, 'words' AS tokenizer, 1 AS version, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM d
+      UNION ALL SELECT source, lang, 'bytes4', 1, CAST(ceil(strlen(text) / 4.0) AS BIGINT) FROM d
+      UNION ALL SELECT source, lang, 'chars', 1, length(text) FROM d)
+SELECT source, lang, tokenizer, CAST(version AS INTEGER) AS version, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY ALL
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_gif, op2_simhash, op3_toxicity, op4_decontamination, op5_licenses, op6_token_counts, op7_quality, op8_secrets, op9_maxent, op10_packing)}
+ORACLES: dict[str, str] = {"op6_token_counts": OP6_SQL}
