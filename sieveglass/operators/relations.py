@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = [F.asc("file"), F.asc("start_offset"), F.asc("end_offset"), F.asc("rule_id"), F.asc_nulls_first("commit"), F.asc("line")]
 
 
 def ignore_rules(findings: DataFrame, ids: list[str]) -> DataFrame:
@@ -42,7 +41,7 @@ def cap_total(findings: DataFrame, n: int) -> DataFrame:
 
 
 def sorted_findings(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(*ORDER)
+    return findings.orderBy("file", "start_offset", "end_offset", "rule_id", F.asc_nulls_first("commit"), "line")
 
 
 def dedup_history(findings: DataFrame, arrival: str = "arrival") -> DataFrame:
