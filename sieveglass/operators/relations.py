@@ -77,11 +77,12 @@ def disposition(files: DataFrame, config, path_allowed: Column, content: str = "
     c = F.col(content)
     binary = X.is_probably_binary(c)
     skip = F.lit(False) if config.binary == "scan" else binary if config.binary == "skip" else binary & ~X.is_source_like(F.col("path"))
+    size = F.coalesce("length", F.octet_length(c)) if "length" in files.columns else F.octet_length(c)
     state = (
-        F.when(c.isNull(), "errored")
-        .when(~X.should_scan(F.col("path"), config.binary != "scan"), "filtered")
+        F.when(~X.should_scan(F.col("path"), config.binary != "scan"), "filtered")
         .when(path_allowed, "allowlisted")
-        .when(F.octet_length(c) > config.max_file_size, "oversized")
+        .when(size > config.max_file_size, "oversized")
+        .when(c.isNull(), "errored")
         .when(F.octet_length(c) == 0, "empty")
         .when(skip, "binary")
         .otherwise("scan")

@@ -142,12 +142,12 @@ class Scanner:
             if c.git_mode:
                 names = git.tracked(root) if c.git_mode == "tracked" else git.changed(root, c.base)
                 names += git.untracked(root) if c.include_untracked else []
-                return self.scan_files(files.paths(spark, names, root))
+                return self.scan_files(files.paths(spark, names, root, c.max_file_size))
         except GitFailed:
             if not c.fallback_walk or c.git_mode == "history":
                 return ScanReport(spark.createDataFrame([], detect.FINDING), R.scan_stats(spark.createDataFrame([], "disposition string"), git_failed=True))
             flags = {"git_fallback": True}
-        return self.scan_files(files.directory(spark, root).select("path", "content"), **flags)
+        return self.scan_files(files.directory(spark, root, c.max_file_size), **flags)
 
     def scan_history(self, spark: SparkSession, root: str) -> ScanReport:
         rows, late = git.history(spark, root, self.config)

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def directory(spark: SparkSession, root: str, max_size: int | None = None) -> DataFrame:
-    """All files below a folder; the size filter is pushed into the listing, so that large files are never read."""
+    """All files below a folder; the size filter is pushed into the listing, so that larger files are listed with null content and never read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
-    path = F.regexp_replace("path", "^(file|viewfs|hdfs):/*(?=/)", "")
+    path = F.regexp_replace("path", "^(file|viewfs|hdfs):/*(?=/)", "").alias("path")
     if max_size is None:
-        return rows.select(path.alias("path"), "length", "content")
-    small = rows.where(F.col("length") <= max_size).select(path.alias("path"), "length", "content")
-    return small
+        return rows.select(path, "length", "content")
+    large = rows.where(F.col("length") > max_size).select(path, "length", F.lit(None).cast("binary").alias("content"))
+    return rows.where(F.col("length") <= max_size).select(path, "length", "content").unionByName(large)
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
