@@ -38,7 +38,7 @@ def test_directory_scan(spark, tree):
     assert rep.exit_code() == 1 and rep.exit_code(no_fail=True) == 0 and rep.exit_code(error_on_skipped=True) == 2
     assert R.coverage_reasons(rep.stats).first().reasons == ["PolicySkipped"]
     capped = s.with_config(ScanConfig(max_files=2, max_findings=1)).scan_path(spark, str(tree))
-    assert capped.findings.count() == 1 and capped.stats.first().files_over_cap == 4 and capped.stats.first().findings_truncated
+    assert capped.findings.count() == 1 and capped.stats.first().files_over_cap == 3 and capped.stats.first().findings_truncated
 
 
 def test_reports(spark, tree, tmp_path):
