@@ -19,7 +19,7 @@ import ahocorasick
 
 from ..config import ScanConfig
 from ..rules.dialect import compiled
-from ..rules.model import Allowlist, Rule, Ruleset, ascii_lower
+from ..rules.model import Allowlist, Rule, Ruleset
 
 MARKER = "[REDACTED_SECRET]"
 LEAST_ENTROPY_BYTES = 8
@@ -176,12 +176,13 @@ class Engine:
             found.append(any(w in low for w in a.stopwords))
         return bool(found) and (all(found) if a.all_of else any(found))
 
-    def candidates(self, text: str) -> list[int]:
-        """Positions of the keyworded rules with a keyword anywhere in the text."""
+    def candidates(self, doc: Document) -> list[int]:
+        """Positions of the keyworded rules with a keyword anywhere in the text, ASCII case aside."""
         if self.automaton is None or not len(self.automaton):
             return []
         hit: set[int] = set()
-        for _, (_, rules) in self.automaton.iter(ascii_lower(text)):
+        low = doc.data.lower()  # of bytes: ASCII only
+        for _, (_, rules) in self.automaton.iter(low.decode("latin-1" if doc.offsets is None else "utf-8")):
             hit.update(rules)
         return sorted(hit)
 
@@ -191,7 +192,7 @@ class Engine:
             return []
         doc = Document(path, data)
         out = [self._path_finding(r, path) for r in self.path_only if compiled(r.path).search(path)]
-        for i in self.candidates(doc.text):
+        for i in self.candidates(doc):
             self._match(self.keyworded[i], doc, out)
         for r in self.unkeyworded:
             self._match(r, doc, out)

@@ -122,9 +122,11 @@ class Scanner:
         if c.max_files is not None:
             kept = state.where(~F.col("disposition").isin("filtered", "allowlisted"))
             over = max(0, kept.count() - c.max_files)
-            state = R.first_files(kept, c.max_files)
-        state = state.persist()
-        found = self.scan(state.where("disposition = 'scan'").select("path", "content"))
+            state = kept.join(R.first_files(kept.select("path"), c.max_files), "path", "left_semi")
+        # one pass reads the contents; only what it found is kept for findings and statistics
+        rows = state.withColumn("content", F.when(F.col("disposition") == "scan", F.col("content")))
+        state = detect.scan(rows.select("path", "disposition", "content"), self.rules, c).select("path", "disposition", "findings").persist()
+        found = detect.findings(state)
         cut = False
         if c.max_findings is not None:
             found = R.cap_total(found, c.max_findings).persist()
