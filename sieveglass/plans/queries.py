@@ -19,7 +19,7 @@ TOKEN = r'token = "[0-9a-f]{40}"'
 EMAIL = r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]+"
 CARD = r"[0-9]{16}"
 IPV4 = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
-LICENSE = r"[^\n]*[Ll]icen[sc]e[^\n]*"
+LICENSE = r"(?m)^[^\n]*[Ll]icen[sc]e[^\n]*"  # anchored: no second try within a line
 PATTERNS = {"token": (TOKEN, "token"), "email": (EMAIL, "@"), "card": (CARD, None), "ipv4": (IPV4, "."), "license": (LICENSE, "licen")}
 
 #: The engine's own small ruleset for the tables at hand; every pattern means the same in all three dialects.
