@@ -56,3 +56,19 @@ def test_run_packs_what_is_kept(spark, folder):
     for i in ids:
         own = [r for r in got if r.doc_id == i]
         assert sum(r.length for r in own) == own[0].doc_tokens
+
+
+def test_nulls_ties_and_extra_columns(spark, folder):
+    at, _, _ = folder
+    rows = [(None, None, None, None, None, 1), (None, "some text", "en", None, 9, 1), (7, None, None, "s", 0, 1), (7, "again", "en", "s", 5, 1), (8, "again", None, None, None, 1), (9, "x " * 60000, "en", "s", 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int")
+    for n in (None, 0):
+        left = docs if n is None else docs.limit(0)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, at)
+            assert left.columns == docs.columns
+            left = left.checkpoint()
+        ids = sorted(str(r.doc_id) for r in left.collect())
+        assert ids == ([] if n == 0 else ["7", "9", "None", "None"])
+        pieces = corpus_pipeline.STAGES[-1][1](spark, left, at).collect()
+        assert {r.doc_id for r in pieces} == ({None, 7, 9} if n is None else set())
