@@ -39,7 +39,7 @@ WINDOW = 8
 THRESHOLD = 0.7
 #: ASCII that separates words here: all but letters and digits.
 _SPACES = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
-_CACHE = 400_000
+_CACHE = 100_000
 
 
 def tokens(text: str | None) -> list[bytes]:
