@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.7
@@ -85,6 +85,20 @@ def anchors(vectors: list[tuple[int, str, dict[str, float]]], threshold: float)
     return sorted(found)
 
 
+def _may_match(s: Column, vocabulary: list[str], idf: dict[str, float], vectors: list, threshold: float) -> Column:
+    """False only for segments below the threshold: their cosine, with every term that no template has counted once, is an upper bound."""
+    words = F.filter(F.split(s, _SPLIT), lambda x: x != "")
+    known = F.array(*map(F.lit, vocabulary))
+    weight = F.map_from_arrays(known, F.array(*(F.lit(idf[t]) for t in vocabulary)))
+    unit = F.map_from_arrays(known, F.array(*(F.array(*(F.lit(float(v.get(t, 0.0))) for _, _, v in vectors)) for t in vocabulary)))
+    own = F.filter(words, lambda x: F.array_contains(known, x))
+    kinds = F.array_distinct(own)
+    pairs = F.transform(kinds, lambda t: F.struct(t.alias("t"), (F.element_at(weight, t) * F.size(F.filter(own, lambda y: y == t))).alias("w")))
+    norm = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["w"] * p["w"]) + OTHER * OTHER * (F.size(F.array_distinct(words)) - F.size(kinds))
+    dots = F.aggregate(pairs, F.array_repeat(F.lit(0.0), len(vectors)), lambda a, p: F.zip_with(a, F.element_at(unit, p["t"]), lambda x, u: x + u * p["w"]))
+    return F.array_max(dots) >= F.lit(threshold - 1e-5) * F.sqrt(norm)
+
+
 def matches(files: DataFrame, threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(doc_id, license, score): the best match of each file with one."""
     spark = files.sparkSession
@@ -95,13 +109,14 @@ def matches(files: DataFrame, threshold: float = THRESHOLD, templates: tuple[tup
     counts = {r.term: r.n for r in df.collect()}  # a row for each template term at most
     idf = {t: math.log((1 + n_files) / (1 + counts.get(t, 0))) + 1 for t in vocabulary}
     vectors = _weights(idf, templates)
-    anchor = "|".join(map(re.escape, anchors(vectors, threshold)))
+    # whole terms only, with the ends that splitting gives them
+    anchor = "(?<![a-z0-9.+-])(?:" + "|".join(map(re.escape, anchors(vectors, threshold))) + r")(?![a-z0-9+-]|\.[0-9a-z])"
     held = low.rlike(anchor)
     name = F.element_at(F.split("path", "/"), -1)
     whole = F.when(name.rlike(LICENSE_FILE), F.array(low)).otherwise(F.array().cast("array<string>"))
     paragraphs = F.filter(F.split(low, r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")))
     segments = files.where(held).select("doc_id", F.posexplode(F.array_distinct(F.concat(F.split(low, "\n"), paragraphs, whole))).alias("segment", "s"))
-    segments = segments.where(F.col("s").rlike(anchor))
+    segments = segments.where(F.col("s").rlike(anchor) & _may_match(F.col("s"), vocabulary, idf, vectors, threshold))
     rows = segments.select("doc_id", "segment", F.explode(F.split("s", _SPLIT)).alias("term")).where("term != ''").groupBy("doc_id", "segment", "term").agg(F.count("*").alias("tf"))
     weight = spark.createDataFrame([*idf.items()], "term string, idf double")
     rows = rows.join(F.broadcast(weight), "term", "left").select("doc_id", "segment", "term", (F.col("tf") * F.coalesce("idf", F.lit(OTHER))).alias("w"))
