@@ -122,9 +122,11 @@ class Model:
         k = min(WINDOW, len(toks))
         worst = float((run[k:] - run[:-k]).max()) / WINDOW
         best: dict[bytes, float] = {}
-        for i in np.argsort(-ratio, kind="stable")[:64].tolist():
+        for i in np.argsort(-ratio, kind="stable"):
             best.setdefault(toks[i], float(ratio[i]))
-        top = sorted(best.values(), reverse=True)[:3]
+            if len(best) == 3:
+                break
+        top = [*best.values()]
         return [float(ll[1].mean()), float(ll[0].mean()), float(ratio.mean()), worst, top[0], sum(top)]
 
     def probability(self, features: np.ndarray) -> np.ndarray:

@@ -55,3 +55,10 @@ def test_one_class_or_none(spark, labels):
     fitted = [y for i, y in labels if crc_mod_py(i, 3) != 1]
     assert {r.score for r in got} == {float(fitted == [1])}
     assert T.judged(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
+
+
+def test_most_telling_words_of_the_whole_text():
+    ll = np.log([[0.1, 0.1, 0.1, 0.1], [0.9, 0.6, 0.4, 0.1]])
+    m = T.Model({b"a": 0, b"b": 1, b"c": 2}, ll, np.zeros((2, 4)), {}, np.zeros((2, 0)), [{} for _ in T.PREFIXES], (np.log(0.1), np.log(0.1)), None, 0.0)
+    got = m.features([b"a"] * 500 + [b"b", b"c"], {})
+    assert got[4:] == pytest.approx([np.log(9), np.log(9 * 6 * 4)])
