@@ -1,7 +1,9 @@
 """Secret scans: a random forest removes false positives from candidate findings.
 
 Candidates are runs of 16 or more characters of secrets' alphabets, over whole
-texts. Each gets features of its length, character transitions, dictionary
+texts, and values of 4 (in quotes) or 6 characters and more that are assigned to
+a name with a key word, whatever they are made of. Only plain words without a
+known prefix, an assignment or a key word beside them are none. Each gets features of its length, character transitions, dictionary
 coverage (stretches that are words of a tokenizer's vocabulary), path and
 neighbouring words. The forest is trained on labelled findings: by default on
 examples() - generated keys of known kinds in the places they occur, and
@@ -9,7 +11,8 @@ generated hashes, words, addresses, placeholders and numbers - or on any rows
 of (candidate, before, after, path, label).
 
 Defined results: null and empty texts have no candidates; equal candidates in
-one text are separate findings by position; repeated rows are scanned each; an
+one text are separate findings by position, and may overlap where a value holds
+a run (redaction joins them); repeated rows are scanned each; an
 empty table gives an empty result; extra columns are ignored.
 """
 
@@ -38,6 +41,11 @@ OTHER_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "
 PATH_WORDS = ("test", "example", "sample", "doc", "fixture", "mock", "lock", "vendor")
 SECRET_PATHS = (".env", ".pem", ".key", "config", "secret", "credential", ".ini", ".yaml", ".yml", ".properties")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "xoxb-", "xoxp-", "sk_live_", "sk-", "AIza", "glpat-", "npm_", "eyJ", "SG.")
+#: An assignment, the name before it and the value after it, of which at most 1,024 bytes count.
+ASSIGNED = re.compile(rb"[=:]>?[ \t]*")
+VALUE = re.compile(rb"""(?:"([^"\r\n]{4,1024})"|'([^'\r\n]{4,1024})'|([^\s"'<>=:][^\s"'<>]{5,1023}))""")
+KEY_NAME = re.compile(rb"(?:%s)[a-z0-9_\-]{0,24}[\"']?[ \t]*:?$" % "|".join(KEY_WORDS).encode())
+_PREFIXES = tuple(p.encode() for p in PREFIXES)
 FEATURES = (
     "length", "entropy", "classes", "transitions", "digit_share", "upper_share", "lower_share", "mark_share", "longest_run", "distinct", "hex", "base64", "digits_only", "coverage",
     "longest_word", "prefix", "repeats", "key_near", "key_first", "other_near", "assigned", "quoted", "path_test", "path_secret", "in_address", "vowels",
@@ -104,19 +112,38 @@ def features(candidate: str, before: str, after: str, path: str, words: Dictiona
     ]
 
 
+def _beside(before: bytes) -> bool:
+    """Whether an assignment or a word with a key word ends the text before a candidate."""
+    low = before.lower()
+    last = re.findall(rb"[a-z0-9_]+", low)[-1:]
+    return bool(re.search(rb"[=:]\s*[\"']?$", low)) or any(k.encode() in w for w in last for k in KEY_WORDS)
+
+
+def _values(raw: bytes) -> Iterator[tuple[int, int]]:
+    """Spans of the values assigned to a name with a key word."""
+    for sign in ASSIGNED.finditer(raw):
+        if KEY_NAME.search(raw[max(0, sign.start() - AROUND) : sign.start()].lower()) and (m := VALUE.match(raw, sign.end())):
+            a, z = m.span(m.lastindex)
+            yield a, a + len(m[3].rstrip(b",;)")) if m.lastindex == 3 else z
+
+
 def candidates(text: str | None) -> Iterator[tuple[int, int, str, str, str]]:
-    """(start, end, candidate, before, after), positions in UTF-8 bytes."""
+    """(start, end, candidate, before, after), positions in UTF-8 bytes, by start."""
     if not text:
         return
     raw = text.encode("utf-8", "replace")
+    spans = {x for x in _values(raw) if x[1] - x[0] >= 4}
     for m in CANDIDATE.finditer(raw):
         word = m[0]
         start = m.start() + len(word) - len(word.lstrip(b".-=/"))
         word = word.strip(b".-=/") if not word.endswith(b"=") else word.lstrip(b".-=/")
-        if len(word) < 16 or not re.search(rb"[0-9]", word) and (word.islower() or word.isupper() or word.istitle()) and b"_" not in word and len(word) < 32:
-            continue  # plain words and shouted or title-case ones
-        end = start + len(word)
-        yield start, end, word.decode(), raw[max(0, start - AROUND) : start].decode("utf-8", "ignore"), raw[end : end + AROUND].decode("utf-8", "ignore")
+        if len(word) < 16:
+            continue
+        plain = not re.search(rb"[0-9]", word) and (word.islower() or word.isupper() or word.istitle()) and b"_" not in word and len(word) < 32
+        if not plain or word.startswith(_PREFIXES) or _beside(raw[max(0, start - AROUND) : start]):
+            spans.add((start, start + len(word)))
+    for start, end in sorted(spans):
+        yield start, end, raw[start:end].decode("utf-8", "ignore"), raw[max(0, start - AROUND) : start].decode("utf-8", "ignore"), raw[end : end + AROUND].decode("utf-8", "ignore")
 
 
 def examples(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
@@ -132,7 +159,7 @@ def examples(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, str, in
     calm = ["tests/fixtures/a.py", "docs/example.md", "package-lock.json", "vendor/x.go", "src3/17.txt", "src9/5.txt", "CHANGELOG.md", "src/app.py"]
     out = []
     for _ in range(n):
-        kind = rng.randrange(7)
+        kind = rng.randrange(9)
         value = [
             lambda: pick(hexes, rng.choice([32, 40, 40, 64])),
             lambda: pick(alnum, rng.randint(20, 48)),
@@ -141,6 +168,8 @@ def examples(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, str, in
             lambda: base64.b64encode(rng.randbytes(rng.randint(18, 48))).decode(),
             lambda: "eyJ" + pick(alnum, 30) + "." + pick(alnum, 60) + "." + pick(alnum + "-_", 43),
             lambda: pick(hexes.upper(), rng.choice([32, 40])),
+            lambda: pick("abcdefghijklmnopqrstuvwxyz", rng.randint(16, 31)),
+            lambda: pick(alnum + "!@#$%^&*", rng.randint(8, 20)),
         ][kind]()
         name = rng.choice(names)
         name = name.upper() if rng.random() < 0.2 else name
@@ -151,7 +180,7 @@ def examples(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, str, in
             before = prose() + " "
         out.append((value, before[-AROUND:], (quote + rng.choice([" ", "\n", ";", "!! "]) + rng.choice([prose(), prose(), word(1), ""]))[:AROUND], rng.choice(paths), 1))
     for _ in range(n):
-        kind = rng.randrange(12)
+        kind = rng.randrange(14)
         before, after = rng.choice([prose() + " ", prose() + " ", word(1) + " ", ""]), " " + rng.choice([prose(), prose(), word(1), ""])
         if kind == 0:
             value = word(rng.randint(6, 12))
@@ -176,6 +205,10 @@ def examples(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, str, in
             value = rng.choice(["-", "=", "_", "."]).join(word(1) for _ in range(9)) + pick("0123456789", 1)
         elif kind == 10:
             value, before = "sha512-" + base64.b64encode(rng.randbytes(48)).decode(), '"integrity": "'
+        elif kind in (11, 12):
+            quote = rng.choice(['"', "'", "", ""])
+            value, before = rng.choice([word(rng.randint(2, 4)), word(rng.randint(3, 8)), word(2).capitalize(), word(2) + "." + word(2)]) if not quote else prose()[: rng.randint(8, 40)], rng.choice(["", prose() + " "]) + rng.choice(names) + rng.choice([": ", " = ", "="]) + quote
+            after = quote + after
         else:
             value = "".join(word(2).capitalize() for _ in range(4)) + pick("0123456789", rng.randint(0, 2))
         out.append((value, before[-AROUND:], after[:AROUND], rng.choice(calm), 0))
@@ -307,8 +340,9 @@ def redact(docs: DataFrame, forest: Forest, dictionary_path: str, text_col: str
                 for i, found in spans.items():
                     raw, end, out = texts[i].encode("utf-8", "replace"), 0, []
                     for a, z in found:
-                        out += [raw[end:a], MARKER.encode()]
-                        end = z
+                        if a >= end:
+                            out += [raw[end:a], MARKER.encode()]
+                        end = max(end, z)
                     texts[i] = b"".join([*out, raw[end:]]).decode("utf-8")
                 columns = [pa.array(texts, c.column(k).type) if k == at_text else c.column(k) for k in range(len(names))]
                 yield pa.RecordBatch.from_arrays(columns, names)

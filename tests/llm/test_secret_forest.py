@@ -59,3 +59,16 @@ def test_scan_and_redact(spark, forest):
     assert out[2] == rows[1][1]
     assert S.scan(df.limit(0), forest, PATH).count() == 0
     assert S.redact(df, forest, PATH).columns == df.columns
+
+
+def test_no_filter_before_the_forest(spark, forest):
+    rng = random.Random(4)
+    aws = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(16))
+    low = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24))
+    rows = [(1, f"the {aws} here"), (2, f'secret = "{low}"'), (3, "password = h7!x@Q#9z\n"), (4, "url:a?db_password=Zk9$wq2!Lx,"), (5, "the key: something is plain thinghandtionreing")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {(r.doc_id, r.start, r.end) for r in S.scan(df, forest, PATH).collect()}
+    assert seen >= {(1, 4, 24), (2, 10, 34), (3, 11, 20), (4, 18, 28), (5, 9, 18)}
+    out = {r.doc_id: r.text for r in S.redact(df, forest, PATH).collect()}
+    assert out[1] == f"the {S.MARKER} here" and out[2] == f'secret = "{S.MARKER}"' and out[3] == f"password = {S.MARKER}\n"
+    assert out[4] == f"url:a?db_password={S.MARKER}," and out[5] == rows[4][1]
