@@ -2,19 +2,28 @@
 
 Each class has an interpolated model of word pairs, words and word prefixes;
 what a class has not seen backs off to counts shared by both classes (numbers
-of distinct left neighbours, then prefixes). A text is compared by its
-log-likelihoods under both, normalised by length: over the whole text, over its
-worst window and over its most telling words. A logistic link, fitted on
-documents that gave no counts, makes a probability of these.
+of distinct left neighbours). Prefixes of 8 and 6 characters divide the words
+into nested groups, a shorter word being a group of its own: a class's word
+backs off to its group's share times the shared share of the word in the group.
+Each group and the whole keep a slot for words never seen, so that the
+probabilities after any word sum to one over the words and the slots.
+
+A text is compared by its log-likelihoods under both classes, normalised by
+length: over the whole text, over its worst window and over its most telling
+words. A logistic link, fitted on documents that gave no counts, makes a
+probability of these; its intercept is then moved so that THRESHOLD is the cut
+that separates those documents best (see operating_point).
 
 Counts are of documents, so that one repetitive text weighs once. The model is
 fitted on at most SAMPLE labelled documents of each class, those with the
-lowest hash of their id; its tables hold at most TABLE words and as many pairs,
-prefixes too. Scoring reads every whole text.
+lowest hash of their id, and keeps every count of theirs: 12 bytes a distinct
+word pair, 64 a distinct word, under 64-bit hashes. Scoring reads every whole
+text, a bounded number of tokens of short texts or one text at a time.
 
 Defined results: null and empty texts score as texts without evidence; repeated
 rows are scored each; without labels of both classes the score is the share of
-toxic labels (0 without labels); extra columns are ignored.
+toxic labels (0 without labels); an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,107 +36,167 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, hashes
 from .linear import logistic, sigmoid
 
 SAMPLE = 10_000
-TABLE = 200_000
 PREFIXES = (8, 6)
-LEAST_PAIR = 4
+#: Discount of every count where the counts of counts don't give one.
 DISCOUNT = 0.75
 WINDOW = 8
 THRESHOLD = 0.7
+#: Least share of ordinary documents that the cut must leave alone.
+SPECIFICITY = 0.95
 #: ASCII that separates words here: all but letters and digits.
 _SPACES = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
-_CACHE = 100_000
+_AT_ONCE = 1 << 19
+_START = b""
 
 
 def tokens(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_SPACES).split() if text else []
 
 
-def _prefix(word: bytes, k: int) -> bytes:
-    """The first k characters; b"" for words that are not longer."""
-    if len(word) <= k:
-        return b""
-    s = word.decode("utf-8")
-    return s[:k].encode() if len(s) > k else b""
+def group(word: bytes, k: int) -> bytes:
+    """The word's group: its first k characters, or itself with an end mark if it isn't longer."""
+    if len(word) > k and len(s := word.decode("utf-8")) > k:
+        return s[:k].encode()
+    return word + b"\0"
+
+
+def group_keys(words: Iterator[bytes] | list[bytes], k: int) -> np.ndarray:
+    """64-bit keys of the words' groups; odd ones are of cut words, which others may share."""
+    found = [group(w, k) for w in words]
+    cut = np.fromiter((not g.endswith(b"\0") for g in found), np.uint64, len(found))
+    return hashes(found) & ~np.uint64(1) | cut
+
+
+def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    h = (left ^ left >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + right
+    return (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+_GRAMS = "kind int, key long, a long, b long, toxic long, ordinary long"
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, left, word, toxic, ordinary): kind 0 words, 1 pairs, else a prefix length; each once a document."""
+    """Each gram once a document: (0, word, its 8-group, its 6-group), (1, pair, left, right), (8, group, its 6-group), (6, group)."""
     for b in batches:
         for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
             toks = tokens(text.as_py())
-            seen = set(toks)
-            rows = [(0, b"", w) for w in seen]
-            rows += [(1, u, w) for u, w in set(zip([b"", *toks], toks))]
-            for k in PREFIXES:
-                rows += [(k, b"", p) for p in {_prefix(w, k) for w in seen} if p]
-            if rows:
-                kind, left, word = zip(*rows, strict=True)
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kind, pa.int32()), pa.array(left, pa.binary()), pa.array(word, pa.binary()), pa.array([y] * n, pa.int64()), pa.array([1 - y] * n, pa.int64())],
-                    ["kind", "left", "word", "toxic", "ordinary"],
-                )
+            if not toks:
+                continue
+            own = list(dict.fromkeys(toks))
+            number = {w: i for i, w in enumerate(own)}
+            word, eight, six = hashes(own), group_keys(own, PREFIXES[0]), group_keys(own, PREFIXES[1])
+            right = word[np.fromiter(map(number.__getitem__, toks), np.int64, len(toks))]
+            left = np.r_[hashes([_START]), right[:-1]]
+            pair, first = np.unique(_pair_keys(left, right), return_index=True)
+            of8, at8 = np.unique(eight, return_index=True)
+            of6 = np.unique(six)
+            none = [np.zeros(len(x), np.uint64) for x in (of8, of6)]
+            parts = [(0, word, eight, six), (1, pair, left[first], right[first]), (PREFIXES[0], of8, six[at8], none[0]), (PREFIXES[1], of6, none[1], none[1])]
+            kind = np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in parts])
+            columns = [np.concatenate([x[i] for x in parts]).view(np.int64) for i in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, columns), pa.array(np.full(len(kind), y)), pa.array(np.full(len(kind), 1 - y))], [c.split()[0] for c in _GRAMS.split(", ")])
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key in the sorted table, or -1."""
+    if not len(table):
+        return np.full(len(keys), -1, np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
 
 
 @dataclass
 class Model:
-    """Log probabilities by class (rows: ordinary, toxic) and the logistic link."""
-
-    words: dict[bytes, int]
-    word_ll: np.ndarray
-    keep: np.ndarray
-    pairs: dict[tuple[bytes, bytes], int]
-    pair_ll: np.ndarray
-    prefixes: list[dict[bytes, tuple[float, float]]]
-    unseen: tuple[float, float]
+    """Sorted 64-bit keys and, by class (rows: ordinary, toxic), what the models know of them."""
+
+    words: np.ndarray  # keys of the words and of the start
+    word_p: np.ndarray  # P(word)
+    sure: np.ndarray  # cautious log ratio of the word's probabilities
+    one: float  # share of one document among ordinary word counts
+    total: np.ndarray  # tokens after the word
+    held: np.ndarray  # what discounting leaves after the word
+    by: np.ndarray  # discounts of the pairs
+    pairs: np.ndarray
+    pair_n: np.ndarray
+    groups: tuple[np.ndarray, np.ndarray]  # keys of the 8- and 6-groups
+    unseen: tuple[np.ndarray, np.ndarray, np.ndarray]  # P(unseen word) in a known 8-group, in a known 6-group, in none
     link: tuple | None
     share: float
 
-    def look(self, word: bytes) -> tuple[float, float]:
-        """Log probabilities of a word that has no entry of its own."""
-        for k, table in zip(PREFIXES, self.prefixes, strict=True):
-            if found := table.get(_prefix(word, k)):
-                return found
-        return self.unseen
-
-    def likelihoods(self, toks: list[bytes], own: dict) -> np.ndarray:
-        """Two rows of log probabilities, a column for each token."""
-        at = np.fromiter(map(self.words.get, toks, [-1] * len(toks)), np.int64, len(toks))
-        out = self.word_ll[:, at].copy()
-        for i in np.flatnonzero(at < 0).tolist():
-            w = toks[i]
-            if w not in own:
-                if len(own) > _CACHE:
-                    own.clear()
-                own[w] = self.look(w)
-            out[:, i] = own[w]
-        pair = np.fromiter(map(self.pairs.get, zip([b"", *toks], toks), [-1] * len(toks)), np.int64, len(toks))
-        left = np.r_[-1, at[:-1]]
-        out += np.where(left >= 0, self.keep[:, left], 0.0)
-        has = pair >= 0
-        out[:, has] = self.pair_ll[:, pair[has]]
+    @classmethod
+    def empty(cls, share: float) -> Model:
+        none, two = np.zeros(0, np.uint64), np.zeros((2, 0))
+        return cls(none, two, np.zeros(0), 0.0, two, two, np.zeros((2, 4)), none, np.zeros((2, 0), np.uint16), (none, none), (two, two, np.full((2, 1), 0.5)), None, share)
+
+    def unigrams(self, own: list[bytes], keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """P(word) by class of distinct words."""
+        p = np.empty((2, len(own)))
+        p[:, at >= 0] = self.word_p[:, at[at >= 0]]
+        rest = np.flatnonzero(at < 0)
+        p[:, rest] = self.unseen[2]
+        for k, table, q in reversed([*zip(PREFIXES, self.groups, self.unseen[:2], strict=True)]):
+            if len(rest):
+                up = _find(table, group_keys([own[i] for i in rest.tolist()], k))
+                p[:, rest[up >= 0]] = q[:, up[up >= 0]]
+        return p
+
+    def likelihoods(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probabilities by class (a column for each token of all texts), the tokens' numbers among the distinct words, and these words' cautious log ratios."""
+        flat = [w for t in texts for w in t]
+        own = list(dict.fromkeys(flat))
+        number = {w: i for i, w in enumerate(own)}
+        tok = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+        keys = hashes(own)
+        at = _find(self.words, keys)
+        p = self.unigrams(own, keys, at)
+        start = np.cumsum([0, *map(len, texts)])[:-1][[len(t) > 0 for t in texts]]
+        left = np.r_[0, tok[:-1]] if len(tok) else tok
+        left_at, left_key = at[left], keys[left]
+        first = hashes([_START])
+        left_at[start], left_key[start] = _find(self.words, first), first
+        out = p[:, tok]
+        known = np.flatnonzero(left_at >= 0)
+        pair = _find(self.pairs, _pair_keys(left_key[known], keys[tok[known]]))
+        n = np.where(pair >= 0, self.pair_n[:, pair], 0) if len(self.pairs) else np.zeros((2, len(known)))
+        total = self.total[:, left_at[known]]
+        seen = _less(n, self.by) / np.maximum(total, 1)
+        out[:, known] = seen + self.held[:, left_at[known]] * out[:, known]
+        sure = np.log(p[1]) - np.log(p[0] + self.one)
+        sure[at >= 0] = self.sure[at[at >= 0]]
+        return np.log(out), tok, sure
+
+    def features(self, texts: list[list[bytes]]) -> np.ndarray:
+        """A row for each text: mean log-likelihoods (toxic, ordinary); their difference overall, in the worst window, and of the most telling words."""
+        out = np.zeros((len(texts), 6))
+        ll, tok, sure = self.likelihoods(texts)
+        base = np.log(self.unseen[2])
+        ratio = ll[1] - ll[0] - float(base[1, 0] - base[0, 0])
+        a = 0
+        for row, t in zip(out, texts, strict=True):
+            z = a + len(t)
+            if t:
+                r = ratio[a:z]
+                run = np.r_[0.0, np.cumsum(r)]
+                k = min(WINDOW, len(t))
+                top = np.maximum(np.sort(sure[np.unique(tok[a:z])])[-3:], 0)
+                row[:] = ll[1, a:z].mean(), ll[0, a:z].mean(), r.mean(), (run[k:] - run[:-k]).max() / WINDOW, top[-1], top.sum()
+            a = z
         return out
 
-    def features(self, toks: list[bytes], own: dict) -> list[float]:
-        """Mean log-likelihoods (toxic, ordinary); their difference overall, in the worst window, and of the most telling words."""
-        if not toks:
-            return [0.0] * 6
-        ll = self.likelihoods(toks, own)
-        ratio = ll[1] - ll[0] - (self.unseen[1] - self.unseen[0])
-        run = np.r_[0.0, np.cumsum(ratio)]
-        k = min(WINDOW, len(toks))
-        worst = float((run[k:] - run[:-k]).max()) / WINDOW
-        best: dict[bytes, float] = {}
-        for i in np.argsort(-ratio, kind="stable"):
-            best.setdefault(toks[i], float(ratio[i]))
-            if len(best) == 3:
-                break
-        top = [*best.values()]
-        return [float(ll[1].mean()), float(ll[0].mean()), float(ratio.mean()), worst, top[0], sum(top)]
+    def of_texts(self, texts: pa.Array) -> np.ndarray:
+        """Features of a column of texts, a bounded number of tokens or one text at a time."""
+        out, held, n = [], [], 0
+        for t in texts:
+            held.append(tokens(t.as_py()))
+            n += len(held[-1])
+            if n >= _AT_ONCE:
+                out.append(self.features(held))
+                held, n = [], 0
+        return np.concatenate([*out, self.features(held)])
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         if self.link is None:
@@ -136,99 +205,108 @@ class Model:
         return sigmoid(np.c_[(features[:, 2:] - mean) / scale, np.ones(len(features))] @ beta)
 
 
-def _tables(grams: DataFrame) -> tuple:
-    """Bounded tables of the counts and the totals over all of them."""
-    sums = grams.groupBy("kind", "left", "word").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")).persist()
-    try:
-        of = {r.kind: r for r in sums.groupBy("kind").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count_if(F.col("t") > 0).alias("vt"), F.count_if(F.col("o") > 0).alias("vo"), F.count("*").alias("n")).collect()}
-        contexts = sums.where("kind = 1").groupBy("word").agg(F.count("*").alias("left_kinds"))
-        n_words = of[0].n if 0 in of else 0
-        words = sums.where("kind = 0").join(contexts, "word").orderBy(F.desc(F.col("t") + F.col("o")), "word").limit(TABLE).select("word", "t", "o", "left_kinds").toArrow()
-        pairs = sums.where(f"kind = 1 and t + o >= {LEAST_PAIR}").orderBy(F.desc(F.col("t") + F.col("o")), "left", "word").limit(TABLE).select("left", "word", "t", "o").toArrow()
-        prefixes = [sums.where(f"kind = {k} and t + o >= 2").orderBy(F.desc(F.col("t") + F.col("o")), "word").limit(TABLE).select("word", "t", "o").toArrow() for k in PREFIXES]
-    finally:
-        sums.unpersist()
-    return of, n_words, words, pairs, prefixes
+def _arrays(t: pa.Table, *keys: str) -> list[np.ndarray]:
+    """Key columns as uint64, sorted by the first, then the counts (rows: ordinary, toxic)."""
+    columns = [np.asarray(t[k], np.int64).view(np.uint64) for k in keys]
+    order = np.argsort(columns[0], kind="stable")
+    return [c[order] for c in columns] + [np.stack([np.asarray(t["o"], np.float64), np.asarray(t["t"], np.float64)])[:, order]]
 
 
-def _counts(t) -> np.ndarray:
-    return np.stack([np.asarray(t["o"], np.float64), np.asarray(t["t"], np.float64)])
+def discounts(n: np.ndarray) -> np.ndarray:
+    """Discounts of counts 0, 1, 2 and more by the numbers n of grams counted 1, 2, 3 and 4 times (modified Kneser-Ney)."""
+    if not n.all():
+        return np.array([0.0, DISCOUNT, DISCOUNT, DISCOUNT])
+    share = n[0] / (n[0] + 2 * n[1])
+    found = [k - (k + 1) * share * n[k] / n[k - 1] for k in (1, 2, 3)]
+    return np.array([0.0, *(min(max(d, 0.1), k - 0.05) for k, d in enumerate(found, 1))])
+
+
+def _discounts(c: np.ndarray) -> np.ndarray:
+    """Discounts by class (rows)."""
+    return np.stack([discounts(np.bincount(np.minimum(row, 5).astype(np.int64), minlength=6)[1:5]) for row in c])
+
+
+def _less(c: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Counts less their discounts."""
+    return np.stack([row - d[np.minimum(row, 3).astype(np.int64)] for row, d in zip(c, by, strict=True)])
+
+
+def _shares(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Discounted shares of the counts, and what discounting leaves for the next order."""
+    total, kept = c.sum(axis=1, keepdims=True), _less(c, _discounts(c))
+    return kept / total, 1 - kept.sum(axis=1, keepdims=True) / total
 
 
 def _model(grams: DataFrame) -> Model | None:
-    of, n_words, words, pairs, prefixes = _tables(grams)
-    if 0 not in of or not of[0].t or not of[0].o:
+    """All counts of the sample; pairs come to the driver as 12 bytes each."""
+    sums = grams.groupBy("kind", "key", "a", "b").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")).persist()
+    try:
+        pairs = sums.where("kind = 1")
+        lefts = pairs.groupBy(F.col("a").alias("key")).agg(F.sum("t").alias("t"), F.sum("o").alias("o"), *(F.count_if(F.col(x) == k if k < 3 else F.col(x) >= k).alias(f"{x}{k}") for x in "ot" for k in (1, 2, 3))).toArrow()
+        kinds = pairs.groupBy(F.col("b").alias("key")).agg(F.count("*").alias("n"))
+        words = sums.where("kind = 0").join(kinds, "key").select("key", "a", "b", "t", "o", "n").toArrow()
+        eights, sixes = (sums.where(f"kind = {k}").select("key", "a", "t", "o").toArrow() for k in PREFIXES)
+        pairs = pairs.select("key", F.col("t").cast("short"), F.col("o").cast("short")).toArrow()
+    finally:
+        sums.unpersist()
+    key, eight, _, c = _arrays(words, "key", "a", "b")
+    if not len(key) or not c.sum(axis=1).all():
         return None
-    total = {k: np.array([[r.o], [r.t]], np.float64) for k, r in of.items()}
-    kinds = {k: np.array([[r.vo], [r.vt]], np.float64) for k, r in of.items()}
-    rest = {k: DISCOUNT * kinds[k] / np.maximum(total[k], 1) for k in of}  # what discounting leaves for the next order
-    left_kinds = np.asarray(words["left_kinds"], np.float64)
-    all_contexts = of[1].n + 0.5 * (n_words + 1)
-
-    # shared: distinct left neighbours over both classes; prefixes add what a class knows of a word's beginning
-    chain: list[dict[bytes, np.ndarray]] = []
-    before = None
-    for k, t in reversed([*zip(PREFIXES, prefixes, strict=True)]):
-        if k not in of:
-            chain.insert(0, {})
-            continue
-        c = _counts(t)
-        names = t["word"].to_pylist()
-        shared = (c.sum(axis=0) + 0.5) / (total[k].sum() + 0.5 * of[k].n)
-        lower = np.ones((2, len(names)))
-        if before is not None:
-            for i, w in enumerate(names):
-                if (up := before.get(_prefix(w, min(PREFIXES)))) is not None:
-                    lower[:, i] = up
-        p = np.maximum(c - DISCOUNT, 0) / np.maximum(total[k], 1) + rest[k] * shared * lower
-        ratio = p / shared  # against the shared model, so that orders combine
-        before = {w: ratio[:, i] for i, w in enumerate(names)}
-        chain.insert(0, before)
-
-    names = words["word"].to_pylist()
-    shared = (left_kinds + 0.5) / all_contexts
-    lower = np.ones((2, len(names)))
-    for i, w in enumerate(names):
-        for k, table in zip(PREFIXES, chain, strict=True):
-            if (up := table.get(_prefix(w, k))) is not None:
-                lower[:, i] = up
-                break
-    c = _counts(words)
-    p = np.maximum(c - DISCOUNT, 0) / total[0] + rest[0] * shared * lower
-    number = {w: i for i, w in enumerate(names)}
-    unseen = rest[0][:, 0] * 0.5 / all_contexts
-
-    held = np.ones((2, len(names)))
-    lefts, rights = pairs["left"].to_pylist(), pairs["word"].to_pylist()
-    pc = _counts(pairs)
-    ll = np.empty_like(pc)
-    li = np.array([number.get(u, -1) for u in lefts], np.int64)
-    ri = np.array([number.get(w, -1) for w in rights], np.int64)
-    ok = (li >= 0) & (ri >= 0)
-    pc, li, ri = pc[:, ok], li[ok], ri[ok]
-    seen = np.maximum(pc - DISCOUNT, 0) / np.maximum(c[:, li], 1)
-    for y in (0, 1):
-        held[y] -= np.minimum(np.bincount(li, seen[y], len(names)), 0.9)
-    ll = np.log(np.minimum(seen, 1) + held[:, li] * p[:, ri])
-    kept = [i for i, k in enumerate(ok) if k]
-    return Model(
-        number,
-        np.c_[np.log(p), np.log(unseen)],
-        np.c_[np.log(held), np.zeros(2)],
-        {(lefts[i], rights[i]): j for j, i in enumerate(kept)},
-        ll,
-        [{w: tuple(np.log(unseen * r)) for w, r in table.items()} for table in chain],
-        tuple(np.log(unseen)),
-        None,
-        0.0,
-    )
+    left_kinds = np.asarray(words["n"], np.float64)[np.argsort(np.asarray(words["key"], np.int64).view(np.uint64), kind="stable")]
+    of8, up, c8 = _arrays(eights, "key", "a")
+    of6, c6 = _arrays(sixes, "key")
+    at8, up = _find(of8, eight), _find(of6, up)
+
+    # shared shares: distinct left neighbours and half a one for every word; half a one for unseen words of each cut group, and for all others
+    size8 = np.bincount(at8, left_kinds + 0.5, len(of8)) + 0.5 * (of8 & np.uint64(1))
+    size6 = np.bincount(up, size8, len(of6)) + 0.5 * (of6 & np.uint64(1))
+    whole = size6.sum() + 0.5
+    (own0, rest0), (own8, rest8), (own6, rest6) = _shares(c), _shares(c8), _shares(c6)
+    # a class's share of a group over the shared one, from the longest groups down
+    of_six = own6 / (size6 / whole) + rest6
+    of_eight = own8 / (size8 / whole) + rest8 * of_six[:, up]
+    p = own0 + rest0 * (left_kinds + 0.5) / whole * of_eight[:, at8]
+    slot = rest0 * 0.5 / whole
+
+    # one standard error less of toxic counts (never below the back-off), one more of ordinary ones
+    one = 1 / float(c[0].sum())
+    less = p[1] - np.minimum(own0[1], np.sqrt(c[1]) / c[1].sum())
+    sure = np.log(less) - np.log(p[0] + (1 + np.sqrt(c[0])) * one)
+
+    start = hashes([_START])
+    names = np.concatenate([key, start])
+    order = np.argsort(names, kind="stable")
+    names, p, sure = names[order], np.c_[p, slot * rest8 * rest6][:, order], np.r_[sure, 0.0][order]
+    left, n = _arrays(lefts, "key")
+    pair, pair_n = _arrays(pairs, "key")
+    by = _discounts(pair_n)
+    order = np.argsort(np.asarray(lefts["key"], np.int64).view(np.uint64), kind="stable")
+    taken = np.stack([sum(d[k] * np.asarray(lefts[f"{x}{k}"], np.float64)[order] for k in (1, 2, 3)) for x, d in zip("ot", by, strict=True)])
+    total, held = np.zeros((2, len(names))), np.ones((2, len(names)))
+    at = _find(names, left)
+    total[:, at] = n
+    held[:, at] = np.where(n > 0, taken / np.maximum(n, 1), 1.0)
+    return Model(names, p, sure, one, total, held, by, pair, pair_n.astype(np.uint16), (of8, of6), (slot * of_eight, slot * rest8 * of_six, slot * rest8 * rest6), None, 0.0)
+
+
+def operating_point(p: np.ndarray, y: np.ndarray, weight: np.ndarray, specificity: float = SPECIFICITY) -> float:
+    """The cut of a score with the largest recall + specificity among those that leave the given share of label 0 alone; midway between the scores beside it."""
+    order = np.argsort(-p, kind="stable")
+    p, y, weight = p[order], y[order], weight[order]
+    recall = np.cumsum(weight * y) / max((weight * y).sum(), 1e-12)
+    wrong = np.cumsum(weight * (1 - y)) / max((weight * (1 - y)).sum(), 1e-12)
+    last = np.flatnonzero(np.r_[p[1:] < p[:-1], True] & (1 - wrong >= specificity))
+    if not len(last):
+        return float(p[0])
+    k = last[int(np.argmax(recall[last] - wrong[last]))]
+    return float((p[k] + p[min(k + 1, len(p) - 1)]) / 2)
 
 
 def _scorer(shared, cal: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, own = shared.value, {}
+        model = shared.value
         for b in batches:
-            f = np.array([model.features(tokens(t.as_py()), own) for t in b.column(1)]).reshape(-1, 6)
+            f = model.of_texts(b.column(1))
             arrays = [b.column(0), *(pa.array(f[:, i]) for i in range(6))]
             names = ["doc_id", "ll_toxic", "ll_ordinary", "ratio", "worst", "top", "top3"]
             if cal:
@@ -256,10 +334,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_where: Column, label_col: str
     chosen = F.broadcast(rows)  # at most 2 * sample rows
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id").select("text", "y", "fold", "doc_id").persist()
     try:
-        model = _model(texts.where("fold > 0").select("text", "y").mapInArrow(_grams, "kind int, left binary, word binary, toxic long, ordinary long")) if n else None
+        model = _model(texts.where("fold > 0").select("text", "y").mapInArrow(_grams, _GRAMS)) if n else None
         if model is None:
             share = float(stands.get(1, 0) > 0 and stands.get(0, 0) == 0)
-            return Model({}, np.zeros((2, 1)), np.zeros((2, 1)), {}, np.zeros((2, 0)), [{} for _ in PREFIXES], (0.0, 0.0), None, share)
+            return Model.empty(share)
         schema = "doc_id long, ll_toxic double, ll_ordinary double, ratio double, worst double, top double, top3 double, y long"
         got = texts.where("fold = 0").select("doc_id", "text", "y").mapInArrow(_scorer(spark.sparkContext.broadcast(model), True), schema).toPandas()
     finally:
@@ -268,7 +346,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_where: Column, label_col: str
     weight = np.where(y == 1, stands.get(1, 1.0), stands.get(0, 1.0))
     model.share = float((weight * y).sum() / max(weight.sum(), 1))
     if len(set(y.tolist())) == 2:
-        model.link = logistic(got[["ratio", "worst", "top", "top3"]].to_numpy(), y, weight)
+        x = got[["ll_toxic", "ll_ordinary", "ratio", "worst", "top", "top3"]].to_numpy()
+        model.link = mean, scale, beta = logistic(x[:, 2:], y, weight)
+        cut = min(max(operating_point(model.probability(x), y, weight), 1e-6), 1 - 1e-6)
+        beta[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(cut / (1 - cut))
     return model
 
 
@@ -291,9 +372,8 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, own = shared.value, {}
+        m = shared.value
         for b in batches:
-            f = np.array([m.features(tokens(t.as_py()), own) for t in b.column(at)]).reshape(-1, 6)
-            yield b.filter(pa.array(m.probability(f) < threshold))
+            yield b.filter(pa.array(m.probability(m.of_texts(b.column(at))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

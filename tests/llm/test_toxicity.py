@@ -33,6 +33,7 @@ def test_held_out_documents(spark):
     y, s, p = map(np.array, zip(*held))
     assert auc(y, s) > 0.97
     assert (p == y).mean() > 0.93
+    assert p[y == 1].mean() > 0.85 and p[y == 0].mean() < 0.05
     assert got[900].score == got[901].score == got[902].score < 0.5
     assert got[903].score > 0.7
     flipped = labels.withColumn("toxic", F.when(T.crc_mod("doc_id", 3) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -40,12 +41,46 @@ def test_held_out_documents(spark):
     assert all(again[i] == pytest.approx(got[i].score) for i in got)
 
 
+def everything(m, vocabulary):
+    """Each known word, and an unseen one for each group that may have some and for all others."""
+    unseen = {T.group(w, k)[: k] + b"~" * (12 - k) for w in vocabulary for k in T.PREFIXES if not T.group(w, k).endswith(b"\0")}
+    for w in unseen:
+        assert w not in vocabulary
+    return [*vocabulary, *unseen, b"?" * 20]
+
+
 def test_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(i, "a a b c" if i % 2 else "a b d") for i in range(40)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
-    m = T.train(docs, labels, F.lit(True))
-    p = np.exp(m.likelihoods([b"a", b"b"], {}))
-    assert ((p > 0) & (p < 1)).all()
+    rng = random.Random(3)
+    vocab = ["a", "b", "beginning", "beginnings", "beginner", "begin", "strange", "stranger", "strangers", "strangely", "it", "italian", "italians", "vile", "vilest"]
+    rows = [(i, " ".join(rng.choice(vocab[: 9 + 6 * (i % 2)]) for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    m = T.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"), F.lit(True))
+    folds = {r.doc_id: r.f for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "pmod(xxhash64(doc_id, 'fold'), 4) AS f").collect()}
+    known = {w for i, t in rows if folds[i] for w in T.tokens(t)}
+    assert len(known) > 10
+    ends = everything(m, known)
+    assert len(ends) > len(known) + 3
+    for before in [None, *known, b"never"]:
+        texts = [[w] if before is None else [before, w] for w in ends]
+        ll, *_ = m.likelihoods(texts)
+        last = np.cumsum([len(t) for t in texts]) - 1
+        assert np.exp(ll[:, last]).sum(axis=1) == pytest.approx([1, 1], abs=1e-9)
+
+
+def test_discounts():
+    assert T.discounts(np.array([5, 0, 1, 1])).tolist() == [0, T.DISCOUNT, T.DISCOUNT, T.DISCOUNT]
+    got = T.discounts(np.array([100, 40, 20, 12]))
+    assert got[1:] == pytest.approx([1 - 2 * (5 / 9) * 0.4, 2 - 3 * (5 / 9) * 0.5, 3 - 4 * (5 / 9) * 0.6])
+
+
+def test_operating_point():
+    rng = np.random.default_rng(2)
+    y = (rng.random(400) < 0.2).astype(float)
+    s = np.round(np.clip(0.2 + 0.3 * y + 0.2 * rng.standard_normal(400), 0, 1), 2)
+    w = np.where(y == 1, 1.0, 3.0)
+    cut = T.operating_point(s, y, w)
+    best = max((s[y == 1] >= c).mean() + (s[y == 0] < c).mean() for c in np.unique(s) if (s[y == 0] < c).mean() >= T.SPECIFICITY)
+    assert (s[y == 0] < cut).mean() >= T.SPECIFICITY
+    assert (s[y == 1] >= cut).mean() + (s[y == 0] < cut).mean() == pytest.approx(best)
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 1)], [(1, 0), (2, 0)]])
@@ -58,7 +93,11 @@ def test_one_class_or_none(spark, labels):
 
 
 def test_most_telling_words_of_the_whole_text():
-    ll = np.log([[0.1, 0.1, 0.1, 0.1], [0.9, 0.6, 0.4, 0.1]])
-    m = T.Model({b"a": 0, b"b": 1, b"c": 2}, ll, np.zeros((2, 4)), {}, np.zeros((2, 0)), [{} for _ in T.PREFIXES], (np.log(0.1), np.log(0.1)), None, 0.0)
-    got = m.features([b"a"] * 500 + [b"b", b"c"], {})
-    assert got[4:] == pytest.approx([np.log(9), np.log(9 * 6 * 4)])
+    names = T.hashes([b"a", b"b", b"c"])
+    order = np.argsort(names)
+    p = np.array([[0.1, 0.1, 0.1], [0.9, 0.6, 0.4]])
+    none = np.zeros(0, np.uint64)
+    m = T.Model(names[order], p[:, order], np.log(p[1] / p[0])[order], 0.0, np.zeros((2, 3)), np.ones((2, 3)), np.zeros((2, 4)), none, np.zeros((2, 0), np.uint16), (none, none), (np.zeros((2, 0)), np.zeros((2, 0)), np.full((2, 1), 0.1)), None, 0.0)
+    got = m.features([[b"a"] * 500 + [b"b", b"c"], []])
+    assert got[0, 4:] == pytest.approx([np.log(9), np.log(9 * 6 * 4)])
+    assert not got[1].any()
