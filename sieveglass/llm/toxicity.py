@@ -16,8 +16,8 @@ that separates those documents best (see operating_point).
 
 Counts are of documents, so that one repetitive text weighs once. The model is
 fitted on at most SAMPLE labelled documents of each class, those with the
-lowest hash of their id, and keeps every count of theirs: 12 bytes a distinct
-word pair, 64 a distinct word, under 64-bit hashes. Scoring reads every whole
+lowest hash of their id, and keeps every count of theirs: 10 or 12 bytes a distinct
+word pair, 72 a distinct word, under 64-bit hashes. Scoring reads every whole
 text, a bounded number of tokens of short texts or one text at a time.
 
 Defined results: null and empty texts score as texts without evidence; repeated
@@ -28,11 +28,12 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,29 +77,42 @@ def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-_GRAMS = "kind int, key long, a long, b long, toxic long, ordinary long"
+_WORDS = "kind int, key long, a long, b long, t long, o long"
+_PAIRS = "a long, b long, t long, o long"
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each gram once a document: (0, word, its 8-group, its 6-group), (1, pair, left, right), (8, group, its 6-group), (6, group)."""
+def _batch(schema: str, columns: list[np.ndarray], y: int) -> pa.RecordBatch:
+    n = len(columns[0])
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.full(n, y)), pa.array(np.full(n, 1 - y))], [c.split()[0] for c in schema.split(", ")])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each gram once a document: (0, word, its 8-group, its 6-group), (8, group, its 6-group), (6, group)."""
     for b in batches:
         for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-            toks = tokens(text.as_py())
-            if not toks:
+            own = list(dict.fromkeys(tokens(text.as_py())))
+            if not own:
                 continue
-            own = list(dict.fromkeys(toks))
-            number = {w: i for i, w in enumerate(own)}
-            word, eight, six = hashes(own), group_keys(own, PREFIXES[0]), group_keys(own, PREFIXES[1])
-            right = word[np.fromiter(map(number.__getitem__, toks), np.int64, len(toks))]
-            left = np.r_[hashes([_START]), right[:-1]]
-            pair, first = np.unique(_pair_keys(left, right), return_index=True)
+            eight, six = group_keys(own, PREFIXES[0]), group_keys(own, PREFIXES[1])
             of8, at8 = np.unique(eight, return_index=True)
             of6 = np.unique(six)
-            none = [np.zeros(len(x), np.uint64) for x in (of8, of6)]
-            parts = [(0, word, eight, six), (1, pair, left[first], right[first]), (PREFIXES[0], of8, six[at8], none[0]), (PREFIXES[1], of6, none[1], none[1])]
+            none8, none6 = np.zeros(len(of8), np.uint64), np.zeros(len(of6), np.uint64)
+            parts = [(0, hashes(own), eight, six), (PREFIXES[0], of8, six[at8], none8), (PREFIXES[1], of6, none6, none6)]
             kind = np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in parts])
-            columns = [np.concatenate([x[i] for x in parts]).view(np.int64) for i in (1, 2, 3)]
-            yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, columns), pa.array(np.full(len(kind), y)), pa.array(np.full(len(kind), 1 - y))], [c.split()[0] for c in _GRAMS.split(", ")])
+            yield _batch(_WORDS, [kind, *(np.concatenate([x[i] for x in parts]).view(np.int64) for i in (1, 2, 3))], y)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(left, right) keys of the word pairs, each once a document; the first word follows the start."""
+    for b in batches:
+        for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            toks = tokens(text.as_py())
+            if toks:
+                number: dict[bytes, int] = {}
+                own = np.fromiter((number.setdefault(w, len(number)) for w in toks), np.int64, len(toks))
+                names = np.r_[hashes(number), hashes([_START])].view(np.int64)
+                pair = np.unique(np.r_[len(number), own[:-1]] << 32 | own)
+                yield _batch(_PAIRS, [names[pair >> 32], names[pair & 0xFFFFFFFF]], y)
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -237,22 +251,24 @@ def _shares(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kept / total, 1 - kept.sum(axis=1, keepdims=True) / total
 
 
-def _model(grams: DataFrame) -> Model | None:
-    """All counts of the sample; pairs come to the driver as 12 bytes each."""
-    sums = grams.groupBy("kind", "key", "a", "b").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")).persist()
-    try:
-        pairs = sums.where("kind = 1")
-        lefts = pairs.groupBy(F.col("a").alias("key")).agg(F.sum("t").alias("t"), F.sum("o").alias("o"), *(F.count_if(F.col(x) == k if k < 3 else F.col(x) >= k).alias(f"{x}{k}") for x in "ot" for k in (1, 2, 3))).toArrow()
-        kinds = pairs.groupBy(F.col("b").alias("key")).agg(F.count("*").alias("n"))
-        words = sums.where("kind = 0").join(kinds, "key").select("key", "a", "b", "t", "o", "n").toArrow()
-        eights, sixes = (sums.where(f"kind = {k}").select("key", "a", "t", "o").toArrow() for k in PREFIXES)
-        pairs = pairs.select("key", F.col("t").cast("short"), F.col("o").cast("short")).toArrow()
-    finally:
-        sums.unpersist()
+def _summed(texts: DataFrame, grams: Callable, schema: str) -> DataFrame:
+    keys = [c.split()[0] for c in schema.split(", ")][:-2]
+    return texts.mapInArrow(grams, schema).groupBy(*keys).agg(F.sum("t").cast("int").alias("t"), F.sum("o").cast("int").alias("o"))
+
+
+def _model(texts: DataFrame) -> Model | None:
+    """All counts of (text, y) rows; the pairs come to the driver as 20 bytes each."""
+    found = _summed(texts, _words, _WORDS).toArrow()
+    words, eights, sixes = (found.filter(pc.equal(found["kind"], k)) for k in (0, *PREFIXES))
     key, eight, _, c = _arrays(words, "key", "a", "b")
     if not len(key) or not c.sum(axis=1).all():
         return None
-    left_kinds = np.asarray(words["n"], np.float64)[np.argsort(np.asarray(words["key"], np.int64).view(np.uint64), kind="stable")]
+    pairs = _summed(texts, _pairs, _PAIRS).toArrow()
+    lefts, rights = (np.asarray(pairs[x], np.int64).view(np.uint64) for x in "ab")
+    pair_n = np.stack([np.asarray(pairs[x], np.int32) for x in "ot"])
+    pair_n = pair_n.astype(np.min_scalar_type(int(pair_n.max())) if pair_n.size else np.uint8)
+    del pairs
+    left_kinds = np.bincount(_find(key, rights), minlength=len(key))
     of8, up, c8 = _arrays(eights, "key", "a")
     of6, c6 = _arrays(sixes, "key")
     at8, up = _find(of8, eight), _find(of6, up)
@@ -277,16 +293,15 @@ def _model(grams: DataFrame) -> Model | None:
     names = np.concatenate([key, start])
     order = np.argsort(names, kind="stable")
     names, p, sure = names[order], np.c_[p, slot * rest8 * rest6][:, order], np.r_[sure, 0.0][order]
-    left, n = _arrays(lefts, "key")
-    pair, pair_n = _arrays(pairs, "key")
     by = _discounts(pair_n)
-    order = np.argsort(np.asarray(lefts["key"], np.int64).view(np.uint64), kind="stable")
-    taken = np.stack([sum(d[k] * np.asarray(lefts[f"{x}{k}"], np.float64)[order] for k in (1, 2, 3)) for x, d in zip("ot", by, strict=True)])
-    total, held = np.zeros((2, len(names))), np.ones((2, len(names)))
-    at = _find(names, left)
-    total[:, at] = n
-    held[:, at] = np.where(n > 0, taken / np.maximum(n, 1), 1.0)
-    return Model(names, p, sure, one, total, held, by, pair, pair_n.astype(np.uint16), (of8, of6), (slot * of_eight, slot * rest8 * of_six, slot * rest8 * rest6), None, 0.0)
+    at = _find(names, lefts)
+    total = np.stack([np.bincount(at, n, len(names)) for n in pair_n])
+    taken = np.stack([np.bincount(at, d[np.minimum(n, 3)], len(names)) for n, d in zip(pair_n, by, strict=True)])
+    held = np.where(total > 0, taken / np.maximum(total, 1), 1.0)
+    pair = _pair_keys(lefts, rights)
+    order = np.argsort(pair)
+    pair, pair_n = pair[order], pair_n[:, order]
+    return Model(names, p, sure, one, total, held, by, pair, pair_n, (of8, of6), (slot * of_eight, slot * rest8 * of_six, slot * rest8 * rest6), None, 0.0)
 
 
 def operating_point(p: np.ndarray, y: np.ndarray, weight: np.ndarray, specificity: float = SPECIFICITY) -> float:
@@ -334,7 +349,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_where: Column, label_col: str
     chosen = F.broadcast(rows)  # at most 2 * sample rows
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id").select("text", "y", "fold", "doc_id").persist()
     try:
-        model = _model(texts.where("fold > 0").select("text", "y").mapInArrow(_grams, _GRAMS)) if n else None
+        model = _model(texts.where("fold > 0").select("text", "y")) if n else None
         if model is None:
             share = float(stands.get(1, 0) > 0 and stands.get(0, 0) == 0)
             return Model.empty(share)
