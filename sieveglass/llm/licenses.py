@@ -2,9 +2,10 @@
 
 All of it is DataFrame functions. The segments of a file are its lines and its
 paragraphs, and the whole text of a licence file (by its name). A template's
-terms that are frequent in the corpus weigh little. Only segments that hold one
-of a template's anchors - its heaviest terms, without which a segment can't
-reach the threshold - are broken into terms.
+terms that are frequent in the corpus weigh little. Only files and segments that
+hold one of a template's anchors - its heaviest terms, without which a segment
+can't reach the threshold - are broken into terms; a file's segments are scored
+in place, so that only its best match is ever shuffled.
 
 A file without a match of its own takes the licence of the nearest directory
 above it (or its own directory) that has a licence file with a match.
@@ -19,13 +20,19 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 THRESHOLD = 0.7
 #: Weight of terms that no template has.
 OTHER = 2.0
+#: Parts that one ancestor's directories are dealt to.
+SALT = 16
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
 _SPLIT = r"[^a-z0-9.+-]+|\.+(?![0-9a-z])"
 
@@ -85,47 +92,66 @@ def anchors(vectors: list[tuple[int, str, dict[str, float]]], threshold: float)
     return sorted(found)
 
 
-def _may_match(s: Column, vocabulary: list[str], idf: dict[str, float], vectors: list, threshold: float) -> Column:
-    """False only for segments below the threshold: their cosine, with every term that no template has counted once, is an upper bound."""
-    words = F.filter(F.split(s, _SPLIT), lambda x: x != "")
+def stems(found: list[str]) -> list[str]:
+    """The anchors without those that hold another one: a text without any of these has no anchor."""
+    return [a for a in found if not any(b != a and b in a for b in found)]
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _best(s: Column, vocabulary: list[str], idf: dict[str, float], vectors: list) -> Column:
+    """(s: negative cosine, license) of the best template for one segment."""
     known = F.array(*map(F.lit, vocabulary))
-    weight = F.map_from_arrays(known, F.array(*(F.lit(idf[t]) for t in vocabulary)))
-    unit = F.map_from_arrays(known, F.array(*(F.array(*(F.lit(float(v.get(t, 0.0))) for _, _, v in vectors)) for t in vocabulary)))
-    own = F.filter(words, lambda x: F.array_contains(known, x))
-    kinds = F.array_distinct(own)
-    pairs = F.transform(kinds, lambda t: F.struct(t.alias("t"), (F.element_at(weight, t) * F.size(F.filter(own, lambda y: y == t))).alias("w")))
-    norm = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["w"] * p["w"]) + OTHER * OTHER * (F.size(F.array_distinct(words)) - F.size(kinds))
-    dots = F.aggregate(pairs, F.array_repeat(F.lit(0.0), len(vectors)), lambda a, p: F.zip_with(a, F.element_at(unit, p["t"]), lambda x, u: x + u * p["w"]))
-    return F.array_max(dots) >= F.lit(threshold - 1e-5) * F.sqrt(norm)
+    weight = F.array(F.lit(OTHER), *(F.lit(idf[t]) for t in vocabulary))
+    unit = F.array(*(F.array(*(F.lit(float(v.get(t, 0.0))) for _, _, v in vectors)) for t in vocabulary))
+    names = F.array(*(F.lit(name) for _, name, _ in vectors))
+
+    def of_runs(runs: Column) -> Column:
+        norm = F.sqrt(F.aggregate(runs, F.lit(0.0), lambda a, r: a + r["w"] * r["w"]))
+        dots = F.aggregate(F.filter(runs, lambda r: r["at"] > 0), F.array_repeat(F.lit(0.0), len(vectors)), lambda a, r: F.zip_with(a, F.get(unit, r["at"] - 1), lambda x, u: x + u * r["w"]))
+        return _let(norm, lambda n: F.array_min(F.zip_with(dots, names, lambda d, name: F.struct((-F.round(d / n, 6)).alias("s"), name.alias("license")))))
+
+    def of_ends(w: Column, ends: Column) -> Column:
+        # equal terms lie together: a run's length is its term's frequency
+        counted = F.transform(ends, lambda e, k: F.struct(F.get(w, e).alias("t"), (e - F.coalesce(F.when(k > 0, F.get(ends, k - 1)), F.lit(-1))).alias("tf")))
+        placed = F.transform(counted, lambda r: F.struct(F.array_position(known, r["t"]).cast("int").alias("at"), r["tf"].alias("tf")))
+        return _let(F.transform(placed, lambda r: F.struct(r["at"].alias("at"), (r["tf"] * F.get(weight, r["at"])).alias("w"))), of_runs)
+
+    def of_words(w: Column) -> Column:
+        last = F.size(w) - 1
+        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.get(w, i) != F.get(w, i + 1)))
+        return _let(F.when(last >= 0, ends).otherwise(F.array().cast("array<int>")), lambda e: of_ends(w, e))
+
+    return _let(F.array_sort(F.filter(F.split(s, _SPLIT), lambda x: x != "")), of_words)
 
 
 def matches(files: DataFrame, threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(doc_id, license, score): the best match of each file with one."""
-    spark = files.sparkSession
     vocabulary = sorted({t for _, text in templates for t in terms(text)})
     low = F.lower("text")
-    df = files.where("text != ''").select(F.explode(F.array_intersect(F.split(low, _SPLIT), F.array(*map(F.lit, vocabulary)))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    n_files = files.count()
+    df = files.select(F.explode(F.array_intersect(F.split(low, _SPLIT), F.array(*map(F.lit, vocabulary)))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     counts = {r.term: r.n for r in df.collect()}  # a row for each template term at most
+    n_files = files.count()
     idf = {t: math.log((1 + n_files) / (1 + counts.get(t, 0))) + 1 for t in vocabulary}
     vectors = _weights(idf, templates)
-    # whole terms only, with the ends that splitting gives them
-    anchor = "(?<![a-z0-9.+-])(?:" + "|".join(map(re.escape, anchors(vectors, threshold))) + r")(?![a-z0-9+-]|\.[0-9a-z])"
-    held = low.rlike(anchor)
+    needed = stems(anchors(vectors, threshold))
+
+    def held(s: Column) -> Column:
+        return reduce(lambda a, b: a | b, (F.contains(s, F.lit(x)) for x in needed))
+
     name = F.element_at(F.split("path", "/"), -1)
-    whole = F.when(name.rlike(LICENSE_FILE), F.array(low)).otherwise(F.array().cast("array<string>"))
-    paragraphs = F.filter(F.split(low, r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")))
-    segments = files.where(held).select("doc_id", F.posexplode(F.array_distinct(F.concat(F.split(low, "\n"), paragraphs, whole))).alias("segment", "s"))
-    segments = segments.where(F.col("s").rlike(anchor) & _may_match(F.col("s"), vocabulary, idf, vectors, threshold))
-    rows = segments.select("doc_id", "segment", F.explode(F.split("s", _SPLIT)).alias("term")).where("term != ''").groupBy("doc_id", "segment", "term").agg(F.count("*").alias("tf"))
-    weight = spark.createDataFrame([*idf.items()], "term string, idf double")
-    rows = rows.join(F.broadcast(weight), "term", "left").select("doc_id", "segment", "term", (F.col("tf") * F.coalesce("idf", F.lit(OTHER))).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
-    lengths = rows.groupBy("doc_id", "segment").agg(norm)
-    known = spark.createDataFrame([(k, name, t, w) for k, name, v in vectors for t, w in v.items()], "template int, license string, term string, u double")
-    dots = rows.join(F.broadcast(known), "term").groupBy("doc_id", "segment", "template", "license").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
-    scored = dots.join(lengths, ["doc_id", "segment"]).select("doc_id", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
-    best = scored.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+
+    def segments(text: Column) -> Column:
+        whole = F.when(name.rlike(LICENSE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))
+        paragraphs = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")))
+        return F.array_distinct(F.filter(F.concat(F.split(text, "\n"), paragraphs, whole), held))
+
+    found = _let(low, lambda text: F.when(held(text), F.array_min(F.transform(segments(text), lambda s: _best(s, vocabulary, idf, vectors)))))
+    rows = files.select("doc_id", found.alias("b")).where(F.col("b.s") <= -threshold)
+    best = rows.groupBy("doc_id").agg(F.min("b").alias("b"))
     return best.select("doc_id", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
@@ -133,15 +159,17 @@ def inherited(directories: DataFrame, licensed: DataFrame) -> DataFrame:
     """(dir, license, from_dir): the nearest of each directory's ancestors, itself included, that `licensed` (dir, license) has."""
     parts = F.split("dir", "/")
     above = directories.select("dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).select("dir", "depth", F.concat_ws("/", F.slice(parts, F.lit(1), F.col("depth"))).alias("from_dir"))
-    one = licensed.groupBy(F.col("dir").alias("from_dir")).agg(F.min("license").alias("license"))
-    near = above.join(one, "from_dir").groupBy("dir").agg(F.max(F.struct("depth", "license", "from_dir")).alias("n"))
+    # a source's top directory is above a large share of all others: dealt to SALT parts
+    above = above.withColumn("part", F.pmod(F.xxhash64("dir"), F.lit(SALT)))
+    one = licensed.groupBy(F.col("dir").alias("from_dir")).agg(F.min("license").alias("license")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    near = above.join(one, ["from_dir", "part"]).groupBy("dir").agg(F.max(F.struct("depth", "license", "from_dir")).alias("n"))
     return near.select("dir", "n.license", "n.from_dir")
 
 
 def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, path, license, score, origin): origin is "own", "inherited" or null."""
     rows = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(path_col).alias("path"))
-    own = matches(rows, threshold)
+    own = checkpointed(matches(rows, threshold))
     named = rows.select("doc_id", "path", F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"))
     joined = named.join(own, "doc_id", "left")
     sources = named.where(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE)).join(own, "doc_id").select("dir", "license")
