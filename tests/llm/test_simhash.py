@@ -33,13 +33,42 @@ def brute_components(fps):
     return {i: find(i) for i in ids}
 
 
-def test_every_close_pair_shares_a_key():
+RINGS = [S.NARROW, S.WIDE]
+
+
+@pytest.mark.parametrize("ring", RINGS)
+def test_every_close_pair_shares_a_key_and_passes_the_chain_filter(ring):
     rng = random.Random(1)
-    for _ in range(3000):
-        x = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4)))
-        agree = sum(1 << k for k, m in enumerate(S._MASKS) if not x & int(m))
-        assert S._FIRST[agree] < len(S.KEYS)
-        assert S.viable_chain(np.array([x], np.uint64))[0]
+    for _ in range(2000):
+        x = np.array([sum(1 << b for b in rng.sample(range(64), rng.randint(0, ring.tau)))], np.uint64)
+        assert ring.first[ring.agreeing(x)[0]] < len(ring.keys)
+        assert ring.viable_chain(x)[0]
+
+
+def plain_chain(ring, x):
+    diff = [bin(x & int(m)).count("1") for m in ring.masks]
+    return any(all(sum(diff[(s + i) % ring.segments] for i in range(n)) <= n * ring.tau // ring.segments for n in range(1, ring.chain + 1)) for s in range(ring.segments))
+
+
+@pytest.mark.parametrize("ring", RINGS)
+def test_the_chain_filter_prunes_before_the_hamming_check(ring):
+    """Among pairs that share a key by chance most go, and some of those that stay fail the full check."""
+    rng = random.Random(4)
+    xor = []
+    for _ in range(20000):
+        key = rng.choice(ring.keys)
+        x = rng.getrandbits(64)
+        if rng.random() < 0.3:  # close ones too
+            x &= rng.getrandbits(64) & rng.getrandbits(64)
+        for s in key:
+            x &= ~int(ring.masks[s])
+        xor.append(x)
+    got = ring.viable_chain(np.array(xor, np.uint64))
+    assert got.tolist() == [plain_chain(ring, x) for x in xor]
+    counts = np.zeros(3, np.int64)
+    ring.near(np.array(xor, np.uint64), np.zeros(len(xor), np.uint64), counts)
+    met, viable, linked = counts.tolist()
+    assert met == len(xor) and linked < viable < 0.6 * met
 
 
 def test_against_brute_force(spark):
@@ -64,19 +93,68 @@ def test_against_brute_force(spark):
     assert len({c for _, _, c in got}) < len(rows) - 60
 
 
-def test_overfull_keys_are_divided(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1 << 18, 30])
+def test_overfull_keys_are_divided(spark, most):
     rng = random.Random(3)
     base = rng.getrandbits(64)
     fps = {i: base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for i in range(400)}
     fps |= {1000 + i: rng.getrandbits(64) for i in range(50)}
-    rows = {}
-    for i, f in fps.items():
-        rows[f] = min(i, rows.get(f, i))
-    monkeypatch.setattr(S, "_link", lambda x, most=20, f=S._link: f(x, most))
-    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), i) for f, i in rows.items()], "fp long, root long")
-    got = {r.node: r.component for r in S.components(S.links(df)).collect()}
-    want = brute_components({i: f for f, i in rows.items()})
-    assert {i: got.get(i, i) for i in want} == want
+    apart = [rng.getrandbits(37) << 27 | 0x2ABCDEF for _ in range(60)]  # one key, nothing near
+    fps |= {2000 + i: f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for i, f in enumerate(apart * 3)}
+    ring = S.Ring(7, 4, 4, small=6, run=9, most=most)
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), 0) for f in set(fps.values())], "fp long, more long")
+    assert len(list(S._met(df, ring))) >= 2
+    got = {r.node: r.component for r in S.components(S.links(df, ring)).collect()}
+    of = {i: int(np.uint64(f).view(np.int64)) for i, f in fps.items()}
+    groups = {}
+    for i, c in brute_components(fps).items():
+        groups.setdefault(c, set()).add(got.get(of[i], of[i]))
+    assert all(len(g) == 1 for g in groups.values())
+    assert len(set().union(*groups.values())) == len(groups)
+
+
+def test_counts_of_candidates(spark):
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    fps = {f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for f in base for _ in range(6)}
+    r = S.candidate_counts(spark.createDataFrame([(int(np.uint64(f).view(np.int64)), 0) for f in fps], "fp long, more long")).first()
+    assert r.met > r.viable > r.linked > 0
+
+
+def shingles(text, n=5):
+    toks = text.lower().split()
+    return {tuple(toks[i : i + n]) for i in range(max(1, len(toks) - n + 1))}
+
+
+def test_keep_one_at_a_similarity(spark):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(500)]
+    rows, copies = [], {}
+    for i in range(120):
+        toks = [rng.choice(vocab) for _ in range(rng.randint(60, 300))]
+        rows.append((i, " ".join(toks)))
+        near = list(toks)
+        for _ in range(rng.choice([1, 1, 2, 3, 8, 30])):
+            near[rng.randrange(len(near))] = "other"
+        copies[1000 + i] = i
+        rows.append((1000 + i, " ".join(near)))
+    kept = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    j = {c: len(shingles(text[c]) & shingles(text[i])) / len(shingles(text[c]) | shingles(text[i])) for c, i in copies.items()}
+    assert set(range(120)) <= kept
+    assert not [c for c in copies if j[c] < 0.6 and c not in kept]
+    close = [c for c in copies if j[c] >= 0.9]
+    assert len(close) > 20 and sum(c not in kept for c in close) > 0.8 * len(close)
+
+
+def test_rows_of_one_id_count_apart(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(7, long), (7, "quite another text that has words of its own"), (8, long), (None, long), (None, "alone"), (9, long + " x"), (9, long + " x"), (2, "a b"), (2, "a b"), (2, None)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, fp int")
+    got = sorted(((r.doc_id, r.text) for r in S.keep_one(df).collect()), key=str)
+    assert got == sorted([rows[0], rows[1], (None, long), (None, "alone"), (2, "a b"), (2, None)], key=str)
+    classes = sorted(((r.doc_id, r.component_id) for r in S.near_duplicates(df).collect()), key=str)
+    assert classes.count((7, 7)) == 2 and classes.count((8, 7)) == 1 and classes.count((None, 7)) == 1 and classes.count((None, None)) == 1 and len(classes) == len(rows)
 
 
 @pytest.mark.parametrize("n", [0, 1])
