@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -66,6 +67,17 @@ def test_probabilities_sum_to_one(spark):
         assert np.exp(ll[:, last]).sum(axis=1) == pytest.approx([1, 1], abs=1e-9)
 
 
+def test_model_survives_pickling(spark):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in corpus(60)], "doc_id long, text string")
+    m = T.train(docs, spark.createDataFrame([(i, y) for i, _, y in corpus(60)], "doc_id long, toxic int"), F.lit(True))
+    again = pickle.loads(pickle.dumps(m))
+    assert len(m.pairs) and (m.pairs == again.pairs).all() and (m.pair_n == again.pair_n).all()
+    texts = [T.tokens(t) for _, t, _ in corpus(60)]
+    assert (m.features(texts) == again.features(texts)).all()
+    none = T.Model.empty(0.5)
+    assert pickle.loads(pickle.dumps(none)).probability(np.zeros((2, 6))).tolist() == [0.5, 0.5]
+
+
 def test_discounts():
     assert T.discounts(np.array([5, 0, 1, 1])).tolist() == [0, T.DISCOUNT, T.DISCOUNT, T.DISCOUNT]
     got = T.discounts(np.array([100, 40, 20, 12]))
