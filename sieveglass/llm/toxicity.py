@@ -144,14 +144,18 @@ class Model:
 
     def __getstate__(self) -> dict:
         """The pairs as compressed steps, so that a broadcast takes about half."""
-        steps = np.diff(self.pairs, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
-        packed = zlib.compress(np.ascontiguousarray(steps.T).tobytes(), 1), zlib.compress(self.pair_n.tobytes(), 1), self.pair_n.dtype.str
+        steps = np.diff(self.pairs, prepend=np.uint64(0))
+        planes = [zlib.compress((steps >> np.uint64(8 * k)).astype(np.uint8), 1) for k in range(8)]
+        packed = planes, zlib.compress(np.ascontiguousarray(self.pair_n), 1), self.pair_n.dtype.str
         return {k: v for k, v in self.__dict__.items() if not k.startswith("pair")} | {"packed": packed}
 
     def __setstate__(self, state: dict) -> None:
-        steps, counts, kind = state.pop("packed")
+        planes, counts, kind = state.pop("packed")
         self.__dict__.update(state)
-        self.pairs = np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(steps), np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
+        steps = np.uint64(0)
+        for k, plane in enumerate(planes):
+            steps = steps | np.frombuffer(zlib.decompress(plane), np.uint8).astype(np.uint64) << np.uint64(8 * k)
+        self.pairs = np.cumsum(steps, dtype=np.uint64)
         self.pair_n = np.frombuffer(zlib.decompress(counts), kind).reshape(2, -1)
 
     @classmethod
@@ -269,19 +273,39 @@ def _summed(texts: DataFrame, grams: Callable, schema: str) -> DataFrame:
     return texts.mapInArrow(grams, schema).groupBy(*keys).agg(F.sum("t").cast("int").alias("t"), F.sum("o").cast("int").alias("o"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of pairs as bytes: lefts, rights, ordinary and toxic counts."""
+    for b in batches:
+        if b.num_rows:
+            data = np.concatenate([np.asarray(b.column(i)).astype(np.int64) for i in (0, 1, 3, 2)])
+            yield pa.RecordBatch.from_arrays([pa.array([data.tobytes()], pa.binary())], ["data"])
+
+
 def _model(texts: DataFrame) -> Model | None:
-    """All counts of (text, y) rows; the pairs come to the driver as 20 bytes each."""
+    """All counts of (text, y) rows; the pairs come to the driver a partition at a time and stay there as 10 or 12 bytes each."""
     found = _summed(texts, _words, _WORDS).toArrow()
     words, eights, sixes = (found.filter(pc.equal(found["kind"], k)) for k in (0, *PREFIXES))
     key, eight, _, c = _arrays(words, "key", "a", "b")
     if not len(key) or not c.sum(axis=1).all():
         return None
-    pairs = _summed(texts, _pairs, _PAIRS).toArrow()
-    lefts, rights = (np.asarray(pairs[x], np.int64).view(np.uint64) for x in "ab")
-    pair_n = np.stack([np.asarray(pairs[x], np.int32) for x in "ot"])
-    pair_n = pair_n.astype(np.min_scalar_type(int(pair_n.max())) if pair_n.size else np.uint8)
-    del pairs
-    left_kinds = np.bincount(_find(key, rights), minlength=len(key))
+    start = hashes([_START])
+    names = np.concatenate([key, start])
+    place = np.argsort(names, kind="stable")
+    names = names[place]
+    left_kinds, total, kinds = np.zeros(len(key)), np.zeros((2, len(names))), np.zeros((2, 4, len(names)), np.int32)
+    found, counts = [np.zeros(0, np.uint64)], [np.zeros((2, 0), np.uint8)]
+    for r in _summed(texts, _pairs, _PAIRS).mapInArrow(_packed, "data binary").toLocalIterator():
+        lefts, rights, *n = np.frombuffer(r.data, np.int64).reshape(4, -1)
+        lefts, rights = lefts.view(np.uint64), rights.view(np.uint64)
+        at = _find(names, lefts)
+        np.add.at(left_kinds, _find(key, rights), 1)
+        for y in (0, 1):
+            np.add.at(total[y], at, n[y])
+            np.add.at(kinds[y], (np.minimum(n[y], 3), at), 1)
+        found.append(_pair_keys(lefts, rights))
+        counts.append(np.stack(n).astype(np.min_scalar_type(int(max(n[0].max(), n[1].max())))))
+    pair, pair_n = np.concatenate(found), np.concatenate(counts, axis=1)
+    del found, counts
     of8, up, c8 = _arrays(eights, "key", "a")
     of6, c6 = _arrays(sixes, "key")
     at8, up = _find(of8, eight), _find(of6, up)
@@ -302,16 +326,9 @@ def _model(texts: DataFrame) -> Model | None:
     less = p[1] - np.minimum(own0[1], np.sqrt(c[1]) / c[1].sum())
     sure = np.log(less) - np.log(p[0] + (1 + np.sqrt(c[0])) * one)
 
-    start = hashes([_START])
-    names = np.concatenate([key, start])
-    order = np.argsort(names, kind="stable")
-    names, p, sure = names[order], np.c_[p, slot * rest8 * rest6][:, order], np.r_[sure, 0.0][order]
+    p, sure = np.c_[p, slot * rest8 * rest6][:, place], np.r_[sure, 0.0][place]
     by = _discounts(pair_n)
-    at = _find(names, lefts)
-    total = np.stack([np.bincount(at, n, len(names)) for n in pair_n])
-    taken = np.stack([np.bincount(at, d[np.minimum(n, 3)], len(names)) for n, d in zip(pair_n, by, strict=True)])
-    held = np.where(total > 0, taken / np.maximum(total, 1), 1.0)
-    pair = _pair_keys(lefts, rights)
+    held = np.where(total > 0, (by[:, :, None] * kinds).sum(axis=1) / np.maximum(total, 1), 1.0)
     order = np.argsort(pair)
     pair, pair_n = pair[order], pair_n[:, order]
     return Model(names, p, sure, one, total, held, by, pair, pair_n, (of8, of6), (slot * of_eight, slot * rest8 * of_six, slot * rest8 * rest6), None, 0.0)
