@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from sieveglass.llm import rollups as R
 
 
@@ -26,8 +30,115 @@ def test_signed_batches(spark, tmp_path):
 
 def test_unfinished_batch_is_redone(spark, tmp_path):
     ledger = R.Rollup(spark, str(tmp_path))
-    (tmp_path / "_work" / "b1" / "state").mkdir(parents=True)
+    (tmp_path / "data" / "unfinished" / "state").mkdir(parents=True)
     one = events(spark, [("insert", 1, 1, "a", "en", "x y", 0)])
     assert ledger.commit("b1", one)
     assert totals(ledger)["a", "en", "words"] == (1, 2)
     assert ledger.committed() == ["b1"]
+
+
+def plain(batches, count):
+    """Totals by replaying all events one after another."""
+    state, seen = {}, set()
+    for name, rows in batches:
+        if name in seen:
+            continue
+        seen.add(name)
+        last = {}
+        for op, seq, i, source, lang, text, _ in rows:
+            if i is not None and (i not in last or (seq, op) > last[i][:2]):
+                last[i] = (seq, op, source, lang, text)
+        for i, (seq, op, source, lang, text) in last.items():
+            if i not in state or seq > state[i][0]:
+                state[i] = (seq, op != "delete", source, lang, count(text or ""))
+    out = {}
+    for _, alive, source, lang, n in state.values():
+        if alive:
+            docs, tokens = out.get((source, lang), (0, 0))
+            out[source, lang] = (docs + 1, tokens + n)
+    return out
+
+
+def test_late_and_early_events_with_compaction(spark, tmp_path):
+    rng = random.Random(4)
+    batches = []
+    for k in range(12):
+        seqs = rng.sample(range(1000), 25)
+        batches.append((f"b{k}", [(rng.choice(["insert", "revise", "delete"]), q, rng.randrange(30), rng.choice("ab"), rng.choice(["en", None]), " ".join("w" * rng.randrange(6)), 0) for q in seqs]))
+    ledger = R.Rollup(spark, str(tmp_path), {("words", 1): R.TOKENIZERS["words", 1]}, compact_after=5)
+    for k, (name, rows) in enumerate(batches):
+        assert ledger.commit(name, events(spark, rows))
+        if k == 7:
+            assert not ledger.commit("b3", events(spark, batches[3][1]))
+            ledger.vacuum()
+    want = plain(batches, lambda t: len(t.split()))
+    assert {k[:2]: v for k, v in totals(ledger).items()} == want
+    assert ledger.committed() == sorted(n for n, _ in batches)
+    assert len(ledger._since_base(ledger._manifests())) <= 6
+    again = {}
+    for r in ledger.documents().collect():
+        docs, n = again.get((r.source, r.lang), (0, 0))
+        again[r.source, r.lang] = (docs + 1, n + r.tokens)
+    assert again == want
+
+
+def test_racing_writer_starts_over(spark, tmp_path, monkeypatch):
+    ledger, other = (R.Rollup(spark, str(tmp_path), {("words", 1): R.TOKENIZERS["words", 1]}) for _ in range(2))
+    write = R.Rollup._write
+
+    def late(self, data, rows, manifests):
+        write(self, data, rows, manifests)
+        if self is ledger and not manifests:
+            monkeypatch.setattr(R.Rollup, "_write", write)
+            assert other.commit("first", events(spark, [("insert", 1, 1, "a", "en", "x y z", 0)]))
+
+    monkeypatch.setattr(R.Rollup, "_write", late)
+    assert ledger.commit("second", events(spark, [("revise", 2, 1, "a", "en", "x", 0)]))
+    assert totals(ledger) == {("a", "en", "words"): (1, 1)}
+    (tmp_path / "commits" / "00000002").write_text("")  # a writer that was lost
+    assert ledger.commit("third", events(spark, [("delete", 3, 1, "a", "en", None, 0)])) and totals(ledger) == {}
+
+
+def test_vocabularies(spark, tmp_path):
+    import base64
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    p = pytest.importorskip("public_tokenizers")
+    queries = pytest.importorskip("sieveglass.llm.queries")
+    texts = [None, "", "Hello, world!  Café naïve\n\tüber 123 <|endoftext|>", "the " * 30000, "x" * 5000, "😀 emoji", "a|b|c"]
+    rows = [("insert", 1, i, "s", "en", t, 0) for i, t in enumerate(texts)]
+    ledger = R.Rollup(spark, str(tmp_path), queries.vocabularies())
+    ledger.commit("b", events(spark, rows))
+    words = Tokenizer.from_file(p.path("word_bpe_49k.json"))
+    with open(p.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pairs = tiktoken.Encoding("t", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {(r.doc_id, r.tokenizer): r.tokens for r in ledger.documents().collect()}
+    for i, t in enumerate(texts):
+        assert got[i, "words"] == len((t or "").split())
+        assert got[i, "word_bpe_49k"] == len(words.encode(t or "", add_special_tokens=False).ids)
+        assert got[i, "byte_bpe_50k"] == len(pairs.encode_ordinary(t or ""))
+
+
+def test_whole_query_against_plain_counts(spark, tmp_path):
+    queries = pytest.importorskip("sieveglass.llm.queries")
+    pytest.importorskip("public_tokenizers")
+    rng = random.Random(6)
+    docs = [(i, " | ".join(rng.choice(["red", "Green", "blau", "été"]) for _ in range(rng.randrange(9))) if i else None, rng.choice(["en", "de"]), rng.choice("st")) for i in range(60)]
+    labels = [(i, rng.randrange(2), int(rng.random() < 0.3)) for i in range(0, 60, 2)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {(r.source, r.lang, r.tokenizer, r.version): (r.n_docs, r.n_tokens) for r in queries.op6_token_counts(spark, str(tmp_path)).collect()}
+    counters = {("words", 1): lambda t: [len(x.split()) for x in t]} | {k: v.counter() for k, v in queries.vocabularies().items() if isinstance(v, R.Vocabulary)}
+    want, of = {}, {i: (q, t) for i, q, t in labels}
+    for i, text, lang, source in docs:
+        quality, toxic = of.get(i, (1, 0))
+        if toxic:
+            continue
+        text = (text or "").replace("|", " ") if quality == 0 else text or ""
+        for (name, version), count in counters.items():
+            n, k = want.get((source, lang, name, version), (0, 0))
+            want[source, lang, name, version] = (n + 1, k + count([text])[0])
+    assert got == want
