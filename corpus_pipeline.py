@@ -7,13 +7,11 @@ empty texts pass the filters and are packed as one end token.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveglass.llm import decontamination, packing, secret_forest, simhash, toxicity
-from sieveglass.llm.common import crc_mod, shared_folder, table
+from sieveglass.llm.common import crc_mod, remove, table, table_folder
 
 
 def _vocabulary() -> str:
@@ -29,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the row with the smallest id stays."""
+    """Of each class of near-duplicates (five words, similarity 0.8) the row with the smallest id stays; rows without an id stay."""
     return simhash.keep_one(docs)
 
 
@@ -58,13 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that the stages keep; each stage's rows are a table in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
-    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The pieces of all documents that the stages keep; each stage's rows are a table in the shared folder until the next one has read them."""
+    docs, at = table(spark, sf_dir, "documents"), table_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
         if k:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{k - 1}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-    return STAGES[-1][1](spark, docs, sf_dir)
+            remove(spark, f"{at}/{k - 1}")
+    pieces = STAGES[-1][1](spark, docs, sf_dir)  # from checkpoints: the documents aren't read again
+    remove(spark, at)
+    return pieces
