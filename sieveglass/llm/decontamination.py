@@ -9,7 +9,14 @@ item is then aligned with the text around the occurrences, so that changed,
 dropped and added words cost a little and do not end the match.
 
 The benchmark is handled in blocks of BLOCK_WORDS words at most; a block's words,
-seeds and items are broadcast, and each block is one pass over the corpus.
+seeds and items are broadcast, one block at a time, and each block is one pass
+over the corpus for word frequencies and one for matches.
+
+A match needs half the score of a perfect one, or of a perfect run of PART words:
+a leaked part of a long item is a leak. Items of over LONGEST words are aligned
+in parts that overlap by half, so that an alignment's table stays small; the best
+part counts. Items of fewer than N words, which any text may hold by chance,
+match texts whose whole sequence of words they are.
 
 Defined results: null and empty texts and items match nothing; repeated rows
 match each; an empty table gives an empty result; extra columns are ignored.
@@ -19,12 +26,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 N = 3
 RARE = 1e-4
 FEWEST = 5
@@ -32,6 +42,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least alignment score as a share of a perfect one (the item's, or a run of PART words).
 THRESHOLD = 0.5
 PART = 50
+LONGEST = 1024
 BLOCK_WORDS = 1_000_000
 SCHEMA = "doc_id long, item_id long, score double, matched int, start int, end int, item_start int, item_end int"
 _SPACES = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
@@ -67,11 +78,13 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int, int, i
 
 @dataclass
 class Block:
-    """Items of one block: their words' numbers, and where each seed occurs."""
+    """Items of one block, long ones in parts: their words' numbers, and where each seed occurs."""
 
     numbers: dict[bytes, int]
     ids: list[int]
+    shifts: list[int]
     items: list[np.ndarray]
+    short: dict[tuple[bytes, ...], list[int]]
     seeds: np.ndarray
     first: np.ndarray
     places: np.ndarray
@@ -91,11 +104,11 @@ def _keys(words: np.ndarray, base: int) -> np.ndarray:
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int = BLOCK_WORDS) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """Items with at least N words, a bounded number of words at a time."""
+    """Items with any words, a bounded number of words at a time; a larger item is a block of its own."""
     part, n = [], 0
     for r in benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         toks = tokens(r.t)
-        if len(toks) < N:
+        if not toks:
             continue
         if part and n + len(toks) > size:
             yield part
@@ -135,7 +148,15 @@ def word_counts(docs: DataFrame, numbers: dict[bytes, int], text_col: str = "tex
 def prepare(part: list[tuple[int, list[bytes]]], docs: DataFrame, text_col: str = "text") -> Block:
     """Choose each item's seeds by the corpus's word frequencies."""
     numbers: dict[bytes, int] = {}
-    items = [np.array([numbers.setdefault(w, len(numbers)) for w in toks], np.int64) for _, toks in part]
+    short: dict[tuple[bytes, ...], list[int]] = {}
+    ids, shifts, items = [], [], []
+    for i, toks in part:
+        if len(toks) < N:
+            short.setdefault(tuple(toks), []).append(i)
+            continue
+        whole = np.array([numbers.setdefault(w, len(numbers)) for w in toks], np.int64)
+        for at in range(0, max(1, len(whole) - LONGEST // 2), LONGEST // 2):
+            ids.append(i), shifts.append(at), items.append(whole[at : at + LONGEST])
     counts, words, rows = word_counts(docs, numbers, text_col)
     log_p = np.log((counts + 0.5) / (words + 1))
     length = np.log(max(words / max(rows, 1), 1))
@@ -150,13 +171,15 @@ def prepare(part: list[tuple[int, list[bytes]]], docs: DataFrame, text_col: str
     found.sort()
     keys = np.array([f[0] for f in found], np.int64)
     seeds, first = np.unique(keys, return_index=True)
-    return Block(numbers, [i for i, _ in part], items, seeds, np.r_[first, len(keys)], np.array([f[1:] for f in found], np.int64).reshape(-1, 2))
+    return Block(numbers, ids, shifts, items, short, seeds, np.r_[first, len(keys)], np.array([f[1:] for f in found], np.int64).reshape(-1, 2))
 
 
 def matches(toks: list[bytes], block: Block, threshold: float = THRESHOLD) -> list[tuple]:
     """(item, score, matched, start, end, item start, item end) of each passage that holds an item."""
     n = len(toks)
-    if n < N or not len(block.seeds):
+    if n < N:
+        return [(i, 1.0, n, 0, n, 0, n) for i in block.short.get(tuple(toks), [])] if n else []
+    if not len(block.seeds):
         return []
     words = np.fromiter(map(block.numbers.get, toks, [-1] * n), np.int64, n)
     key = _keys(words, len(block.numbers))
@@ -171,7 +194,7 @@ def matches(toks: list[bytes], block: Block, threshold: float = THRESHOLD) -> li
             size = len(block.items[item])
             slack = 8 + size // 4
             spans.setdefault(item, []).append((max(0, pos - place - slack), min(n, pos - place + size + slack)))
-    out = []
+    out: dict[int, tuple] = {}
     for item, found in spans.items():
         found.sort()
         merged = [list(found[0])]
@@ -193,16 +216,22 @@ def matches(toks: list[bytes], block: Block, threshold: float = THRESHOLD) -> li
                     break
         if best:
             score, same, i, j, x, y = best
-            out.append((block.ids[item], score / (MATCH * min(len(target), PART)), same, i, j, x, y))
-    return out
+            name, shift = block.ids[item], block.shifts[item]
+            row = (name, score / (MATCH * min(len(target), PART)), same, i, j, x + shift, y + shift)
+            if name not in out or row[1] > out[name][1]:
+                out[name] = row
+    return [*out.values()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and item that aligns: the best passage, in words, and its score."""
     spark = docs.sparkSession
-    out = spark.createDataFrame([], SCHEMA)
+    done, last = [spark.createDataFrame([], SCHEMA)], None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for part in blocks(benchmark, item_col, item_text):
+        if last:  # one block in memory at a time
+            done.append(checkpointed(last[0]))
+            last[1].destroy()
         shared = spark.sparkContext.broadcast(prepare(part, rows))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -214,14 +243,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-        out = out.unionByName(rows.mapInArrow(run, SCHEMA))
-    return out
+        last = rows.mapInArrow(run, SCHEMA), shared
+    if last:
+        done.append(last[0])
+    return reduce(DataFrame.unionByName, done)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows that hold no item, in the same columns."""
-    spark, at, kept = docs.sparkSession, docs.columns.index(text_col), docs
+    spark, at, kept, shared = docs.sparkSession, docs.columns.index(text_col), docs, None
     for part in blocks(benchmark, item_col, item_text):
+        if shared:  # one block in memory at a time
+            kept = checkpointed(kept)
+            shared.destroy()
         shared = spark.sparkContext.broadcast(prepare(part, docs, text_col))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

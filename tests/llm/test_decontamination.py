@@ -79,3 +79,40 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     assert D.contamination(docs.limit(0), bench).count() == 0
     assert D.contamination(docs, bench.limit(0)).count() == 0
+
+
+def test_short_and_long_items(spark):
+    rng = random.Random(7)
+    long = [f"w{rng.randrange(3000)}" for _ in range(5000)]
+    bench = spark.createDataFrame([(1, "yes"), (2, "two words"), (3, " ".join(long)), (4, "")], "item_id long, text string")
+    other = [f"o{rng.randrange(3000)}" for _ in range(400)]
+    rows = [(1, "Yes."), (2, "yes it is so"), (3, "two, words!"), (4, "words two"), (5, " ".join(other[:90] + long[3100:3180] + other[90:])), (6, " ".join(other)), (7, " ".join(long)), (8, None), (9, " ".join(edited(rng, long[4900:])))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in D.contamination(docs, bench).collect()}
+    assert set(got) == {(1, 1), (3, 2), (5, 3), (7, 3), (9, 3)}
+    r = got[5, 3]
+    assert (r.start, r.end, r.item_start, r.item_end) == (90, 170, 3100, 3180)
+    assert {r.doc_id for r in D.keep_clean(docs, bench).collect()} == {2, 4, 6, 8}
+
+
+def test_whole_query_against_every_alignment(spark):
+    """Without seeds: each document aligned with each item."""
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(150)]
+    items = [(i, [rng.choice(vocab) for _ in range(rng.randint(12, 25))]) for i in range(8)]
+    rows = []
+    for d in range(40):
+        toks = [rng.choice(vocab) for _ in range(rng.randint(20, 60))]
+        if d % 2:
+            at = rng.randrange(len(toks))
+            toks[at:at] = edited(rng, rng.choice(items)[1])
+        rows.append((d, " ".join(toks)))
+    got = {(r.doc_id, r.item_id): r.score for r in D.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")).collect()}
+    number = {w: k for k, w in enumerate({w for _, t in rows for w in t.split()} | {w for _, t in items for w in t})}
+    want = {}
+    for d, text in rows:
+        for i, item in items:
+            score = brute([number[w] for w in text.split()], [number[w] for w in item]) / (D.MATCH * min(len(item), D.PART))
+            if score >= D.THRESHOLD:
+                want[d, i] = score
+    assert len(want) >= 15 and got == want
