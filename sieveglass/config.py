@@ -46,6 +46,13 @@ class ScanConfig:
             raise ConfigError("history_all needs git_mode='history'")
         if self.include_untracked and self.git_mode not in ("tracked", "changed"):
             raise ConfigError("include_untracked needs git_mode 'tracked' or 'changed'")
+        if self.history_options and self.git_mode != "history":
+            raise ConfigError("history_options need git_mode='history'")
+        for option in self.history_options:
+            if not option.startswith("-") or option.startswith(("--output", "--format", "--pretty", "-O")) or "\0" in option:
+                raise ConfigError(f"history option {option} is not allowed")
+        if self.history_timeout < 0:
+            raise ConfigError("history_timeout must not be negative")
         if self.max_file_size <= 0:
             raise ConfigError("max_file_size must be positive")
         for name in ("max_files", "max_findings", "max_findings_per_file", "max_matched_len"):

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +27,7 @@ FINDING = T.StructType(
         T.StructField("context_lines", T.ArrayType(T.StructType([T.StructField("line", T.LongType()), T.StructField("content", T.StringType())]))),
     ]
 )
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The key of keyed fingerprints is read from here on the driver, for each scan.
 KEY_VARIABLE = "SIEVEGLASS_FINGERPRINT_KEY"
 
@@ -34,16 +36,15 @@ def fingerprint_key() -> bytes | None:
     return os.environ.get(KEY_VARIABLE, "").encode() or None
 
 
-_engines: dict[tuple, Engine] = {}
+_engines: dict[str, Engine] = {}
 
 
-def _engine(shared) -> Engine:
-    """The worker's engine for a broadcast ruleset."""
-    k = id(shared.value)
-    if k not in _engines:
+def _engine(shared, name: str) -> Engine:
+    """The worker's engine for a broadcast ruleset, by the scan's name."""
+    if name not in _engines:
         _engines.clear()
-        _engines[k] = Engine(*shared.value)
-    return _engines[k]
+        _engines[name] = Engine(*shared.value)
+    return _engines[name]
 
 
 def scan(docs: DataFrame, rules: Ruleset, config: ScanConfig, path_col: str = "path", content_col: str = "content", redacted: bool = False) -> DataFrame:
@@ -57,7 +58,7 @@ def scan(docs: DataFrame, rules: Ruleset, config: ScanConfig, path_col: str = "p
     schema = T.StructType([*docs.schema.fields, T.StructField("findings", T.ArrayType(FINDING)), T.StructField("findings_truncated", T.BooleanType()), T.StructField("oversized", T.BooleanType())])
     if redacted:
         schema = schema.add("redacted_content", content)
-    shared = docs.sparkSession.sparkContext.broadcast((rules, config, fingerprint_key()))
+    shared, name = docs.sparkSession.sparkContext.broadcast((rules, config, fingerprint_key())), uuid.uuid4().hex
     at_path, at_content = names.index(path_col), names.index(content_col)
     text = isinstance(content, T.StringType)
     from pyspark.sql.pandas.types import to_arrow_type
@@ -65,7 +66,7 @@ def scan(docs: DataFrame, rules: Ruleset, config: ScanConfig, path_col: str = "p
     found_type = to_arrow_type(T.ArrayType(FINDING))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine = _engine(shared)
+        engine = _engine(shared, name)
         for b in batches:
             found, cut, over, clean = [], [], [], []
             for path, value in zip(b.column(at_path).to_pylist(), b.column(at_content).to_pylist(), strict=True):
@@ -102,18 +103,27 @@ def native_findings(docs: DataFrame, rule_id: str, pattern: str, least_entropy:
     """
     from ..functions import columns as X
     from ..rules.dialect import to_java
+    from ..rules.model import ascii_lower
 
-    java = to_java(pattern)
-    text = F.col(text_col)
-    rows = docs.where(F.contains(F.lower(text), F.lit(keyword))) if keyword else docs
+    java, text = to_java(pattern), F.col(text_col)
+    rows = docs.where(F.contains(F.translate(text, UPPER, UPPER.lower()), F.lit(ascii_lower(keyword)))) if keyword else docs
     rows = rows.where(text.rlike(java))
     hits = F.regexp_extract_all(text, F.lit(java), F.lit(0))
-    rows = rows.select(F.col(path_col).alias("file"), text.alias("_text"), hits.alias("_hits"), F.split(text, java, -1).alias("_gaps"))
-    rows = rows.select("file", "_hits", "_gaps", F.posexplode("_hits").alias("_i", "secret"))
-    before = F.concat(F.array_join(F.transform(F.slice("_hits", F.lit(1), F.col("_i")), lambda h, i: F.concat(F.col("_gaps")[i], h)), ""), F.col("_gaps")[F.col("_i")])
-    rows = rows.select("file", "secret", before.alias("_before"))
+    rows = rows.select(F.col(path_col).alias("file"), hits.alias("_hits"), F.split(text, java, -1).alias("_gaps"))
+    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+
+    def after(at: Column, piece: Column) -> Column:
+        # bytes, line feeds and bytes since the last one, before and with the piece
+        tail = F.when(F.contains(piece, F.lit("\n")), F.octet_length(F.substring_index(piece, "\n", -1))).otherwise(at["tail"] + F.octet_length(piece))
+        return F.struct((at["bytes"] + F.octet_length(piece)).alias("bytes"), (at["lines"] + newlines(piece)).alias("lines"), tail.cast("long").alias("tail"))
+
+    zero = F.lit(0).cast("long")
+    pieces = F.transform("_hits", lambda h, i: F.struct(F.get("_gaps", i).alias("gap"), h.alias("hit")))
+    starts = F.aggregate(pieces, F.array(F.struct(zero.alias("bytes"), zero.alias("lines"), zero.alias("tail"))), lambda done, p: F.concat(done, F.array(after(F.element_at(done, -1), F.concat(p["gap"], p["hit"])))))
+    rows = rows.select("file", "_hits", "_gaps", starts.alias("_starts")).select("file", F.posexplode("_hits").alias("_i", "secret"), "_gaps", "_starts")
+    rows = rows.select("file", "secret", after(F.get("_starts", "_i"), F.get("_gaps", "_i")).alias("_at"))
     out = rows.select(
-        "file", F.lit(rule_id).alias("rule_id"), X.line_number(F.lit(""), F.col("_before")).cast("long").alias("line"), X.byte_column(F.col("_before")).cast("long").alias("col"), F.octet_length("_before").cast("long").alias("start_offset"),
-        (F.octet_length("_before") + F.octet_length("secret")).cast("long").alias("end_offset"), "secret", X.entropy(F.col("secret")).alias("entropy"), X.finding_fingerprint(F.lit(rule_id), F.col("file"), F.col("secret"), namespace).alias("fingerprint"),
+        "file", F.lit(rule_id).alias("rule_id"), (F.col("_at.lines") + 1).alias("line"), (F.col("_at.tail") + 1).alias("col"), F.col("_at.bytes").alias("start_offset"),
+        (F.col("_at.bytes") + F.octet_length("secret")).alias("end_offset"), "secret", X.entropy(F.col("secret")).alias("entropy"), X.finding_fingerprint(F.lit(rule_id), F.col("file"), F.col("secret"), namespace).alias("fingerprint"),
     )
     return out if least_entropy is None else out.where((F.octet_length("secret") >= 8) & (F.col("entropy") >= least_entropy))

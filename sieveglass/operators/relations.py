@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def ignore_rules(findings: DataFrame, ids: list[str]) -> DataFrame:
     return findings.where(~F.col("rule_id").isin(*ids)) if ids else findings
 
@@ -61,13 +64,33 @@ def merge_spans(spans: DataFrame, keys: list[str], start: str = "start", end: st
 
 
 def candidate_rules(docs: DataFrame, keyword_rules: DataFrame, text_col: str = "text") -> DataFrame:
-    """(path, rule_id) of documents that hold one of a rule's keywords; keyword_rules: (keyword, rule_id), a ruleset's size."""
-    low = docs.select("path", F.translate(text_col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("_low"))
-    index: dict[str, list[str]] = {}
+    """(path, rule_id) of documents that hold one of a rule's keywords, ASCII case aside; keyword_rules: (keyword, rule_id), a ruleset's size. One automaton finds all keywords in one reading of a text."""
+    from ..rules.model import ascii_lower
+
+    index: dict[str, set[str]] = {}
     for r in keyword_rules.collect():
-        index.setdefault(r.keyword.lower(), []).append(r.rule_id)
-    hits = F.array_compact(F.array(*(F.when(F.contains("_low", F.lit(k)), F.array(*map(F.lit, sorted(set(v))))) for k, v in sorted(index.items()))))
-    return low.select("path", F.explode(F.array_distinct(F.flatten(hits))).alias("rule_id"))
+        index.setdefault(ascii_lower(r.keyword), set()).add(r.rule_id)
+    always = sorted(index.pop("", ()))
+    rows = docs.select(F.col("path").cast("string").alias("path"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for k, ids in index.items():
+            automaton.add_word(k.encode().decode("latin-1"), tuple(sorted(ids)))  # bytes as characters
+        if index:
+            automaton.make_automaton()
+        for b in batches:
+            paths, found = [], []
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if text is None:
+                    continue
+                hit = {x for _, ids in automaton.iter(text.encode("utf-8", "replace").lower().decode("latin-1")) for x in ids} if index else set()
+                hit.update(always)
+                paths += [path] * len(hit)
+                found += sorted(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(found, pa.string())], ["path", "rule_id"])
+
+    return rows.mapInArrow(run, "path string, rule_id string")
 
 
 def disposition(files: DataFrame, config, path_allowed: Column, content: str = "content") -> DataFrame:
@@ -91,11 +114,12 @@ def disposition(files: DataFrame, config, path_allowed: Column, content: str = "
 
 
 def scan_stats(dispositions: DataFrame, files_over_cap: int = 0, findings_truncated: bool = False, git_failed: bool = False, git_fallback: bool = False, history_timed_out: bool = False) -> DataFrame:
-    """One row of counters and flags."""
+    """One row of counters and flags; rows that say findings_truncated of themselves set the flag too."""
+    cut = F.coalesce(F.bool_or("findings_truncated"), F.lit(False)) if "findings_truncated" in dispositions.columns else F.lit(False)
     count = lambda *s: F.count_if(F.col("disposition").isin(*s))
     return dispositions.agg(
         count("scan", "empty").alias("files_scanned"), count("binary").alias("binary_skipped"), count("oversized").alias("oversized_skipped"), count("errored").alias("errored"), F.lit(files_over_cap).cast("long").alias("files_over_cap"),
-        F.lit(findings_truncated).alias("findings_truncated"), F.lit(git_failed).alias("git_failed"), F.lit(git_fallback).alias("git_fallback"), F.lit(history_timed_out).alias("history_timed_out"),
+        (cut | F.lit(findings_truncated)).alias("findings_truncated"), F.lit(git_failed).alias("git_failed"), F.lit(git_fallback).alias("git_fallback"), F.lit(history_timed_out).alias("history_timed_out"),
     )
 
 
@@ -133,11 +157,21 @@ def findings_by_rule(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule_id").agg(F.count("*").alias("n_findings"), F.count_distinct("file").alias("n_files"))
 
 
-def vendor_clusters(rules: DataFrame, threshold: int = 2) -> DataFrame:
-    """Rules of one vendor from several sources: (stem, n_rules, n_sources)."""
+def generic_parts(rules: DataFrame, least: int = 3) -> DataFrame:
+    """(part): parts of rule ids that stand beside at least that many different first parts; they name a kind of secret, not whose it is."""
+    from ..functions import columns as X
+
+    ids = rules.select(X.id_parts(F.col("rule_id")).alias("p")).distinct().where(F.size("p") > 1)
+    later = ids.select(F.element_at("p", 1).alias("first"), F.explode(F.slice("p", F.lit(2), F.size("p") - 1)).alias("part"))
+    return later.groupBy("part").agg(F.count_distinct("first").alias("n")).where(F.col("n") >= least).select("part")
+
+
+def vendor_clusters(rules: DataFrame, threshold: int = 2, least: int = 3) -> DataFrame:
+    """Rules of one vendor from several sources: (stem, n_rules, n_sources). What is generic is learnt from the ids themselves, a ruleset's size."""
     from ..functions import columns as X
 
-    stem = rules.select(X.vendor_stem(F.col("rule_id")).alias("stem"), "source").where("stem is not null")
+    generic = sorted(r.part for r in generic_parts(rules, least).collect())
+    stem = rules.select(X.vendor_stem(F.col("rule_id"), generic).alias("stem"), "source").where("stem is not null")
     return stem.groupBy("stem").agg(F.count("*").alias("n_rules"), F.count_distinct("source").alias("n_sources")).where((F.col("n_rules") >= threshold) & (F.col("n_sources") >= 2))
 
 

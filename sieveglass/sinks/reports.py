@@ -29,11 +29,13 @@ def json_object(context: bool = False) -> Column:
 
 
 def text_lines(context: bool = False) -> Column:
-    head = F.format_string("  %s:%d:%d | rule=%s entropy=%.2f%s | %s", X.sanitize_display(F.col("file")), "line", "col", "rule_id", "entropy", F.coalesce(F.concat(F.lit(" commit="), F.substring("commit", 1, 12)), F.lit("")), X.sanitize_display(F.col("matched")))
-    about = F.when(F.col("description") != "", F.concat(F.lit("    └─ "), X.sanitize_display(F.col("description"))))
-    rows = [head, about]
+    """A finding as text of our own layout: place, rule, what is shown; then its description and lines around it."""
+    place = F.format_string("%s:%d:%d", X.sanitize_display(F.col("file")), "line", "col")
+    about = F.concat(F.col("rule_id"), F.when(F.col("description") != "", F.concat(F.lit(" ("), X.sanitize_display(F.col("description")), F.lit(")"))).otherwise(""))
+    shown = F.format_string("entropy %.2f, shown as %s", "entropy", X.sanitize_display(F.col("matched")))
+    rows = [F.concat_ws("  ", place, about, F.concat(F.lit("@"), F.substring("commit", 1, 12))), F.concat(F.lit("    "), shown)]
     if context:
-        show = lambda x: F.format_string("     %s %4d | %s", F.when(x["line"] == F.col("line"), ">").otherwise(" "), x["line"], X.sanitize_display(x["content"]))
+        show = lambda x: F.format_string("    %s%6d  %s", F.when(x["line"] == F.col("line"), "*").otherwise(" "), x["line"], X.sanitize_display(x["content"]))
         rows.append(F.when(F.size("context_lines") > 0, F.array_join(F.transform("context_lines", show), "\n")))
     return F.array_join(F.array(*rows), "\n")
 
@@ -59,7 +61,7 @@ def render(findings: DataFrame, fmt: str, context: bool = False, base: str = "",
     rows = sorted_findings(findings)
     if fmt == "text":
         n = findings.count()
-        yield "✅ No secrets found.\n" if not n else f"🚨 Found {n} potential secret(s):\n\n"
+        yield f"{n} finding{'s' * (n != 1)}\n"
         for r in rows.select(text_lines(context).alias("v")).toLocalIterator():
             yield r.v + "\n"
     elif fmt in ("json", "jsonl"):

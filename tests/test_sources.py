@@ -6,10 +6,11 @@ import pytest
 
 from sieveglass import cli
 from sieveglass.config import ScanConfig
+from sieveglass.errors import ConfigError
 from sieveglass.operators import relations as R
 from sieveglass.plans.scanner import Scanner, register_functions, safe_findings
 from sieveglass.sinks import reports
-from sieveglass.sources import git
+from sieveglass.sources import files, git
 from sieveglass.streaming.redact import finding_stream, redact_stream
 
 TOML = "[[rules]]\nid='k'\ndescription='a key'\nregex='SECRET[0-9]{6}'\nkeywords=['secret']\n"
@@ -34,17 +35,17 @@ def test_directory_scan(spark, tree):
     got = [(r.file.removeprefix(str(tree) + "/"), r.line, r.matched) for r in rep.findings.collect()]
     assert got == [("a.txt", 2, "*" * 12), ("d.json", 1, "*" * 12), ("sub/e.py", 1, "*" * 12), ("sub/e.py", 1, "*" * 12)]
     st = rep.stats.first()
-    assert (st.files_scanned, st.binary_skipped, st.oversized_skipped, st.errored) == (3, 1, 1, 0)  # Spark leaves out empty files
+    assert (st.files_scanned, st.binary_skipped, st.oversized_skipped, st.errored) == (4, 1, 1, 0)
     assert rep.exit_code() == 1 and rep.exit_code(no_fail=True) == 0 and rep.exit_code(error_on_skipped=True) == 2
     assert R.coverage_reasons(rep.stats).first().reasons == ["PolicySkipped"]
     capped = s.with_config(ScanConfig(max_files=2, max_findings=1)).scan_path(spark, str(tree))
-    assert capped.findings.count() == 1 and capped.stats.first().files_over_cap == 3 and capped.stats.first().findings_truncated
+    assert capped.findings.count() == 1 and capped.stats.first().files_over_cap == 4 and capped.stats.first().findings_truncated
 
 
 def test_reports(spark, tree, tmp_path):
     rep = Scanner.from_toml(TOML).scan_path(spark, str(tree))
     text = "".join(reports.render(rep.findings, "text", True))
-    assert "🚨 Found 5 potential secret(s)" in text and "a.txt:2:1 | rule=k entropy=" in text and "     >    2 | [REDACTED_SECRET]" in text
+    assert text.startswith("5 findings\n") and "a.txt:2:1  k (a key)" in text and "    *     2  [REDACTED_SECRET]" in text
     rows = json.loads("".join(reports.render(rep.findings, "json")))
     assert len(rows) == 5 and rows[0]["rule_id"] == "k" and "commit" not in rows[0] and "context" not in rows[0]
     assert [json.loads(x) for x in "".join(reports.render(rep.findings, "jsonl")).splitlines()] == rows
@@ -99,14 +100,18 @@ def test_git_fails_closed(spark, tmp_path):
     assert rep.findings.count() == 1 and rep.stats.first().git_fallback
 
 
-def test_patch_parser():
-    sha = b"a" * 40
-    lines = [b"commit " + sha, b"diff --git a/x b/x", b"--- a/x", b"+++ b/x", b"@@ -0,0 +1,2 @@", b"+one", b"+++ b/not a header", b"@@ -9 +20 @@", b"+late", b"diff --git a/y b/y", b"+++ /dev/null", b"@@ -1 +0,0 @@", b"-gone", b"diff --cc z", b"+++ b/z", b"@@@ -1 -1 +1 @@@", b"++no", b"diff --git a/u b/u", b"+++ b/../u", b"@@ -0,0 +1 @@", b"+x"]
-    p = git.PatchParser(1000)
-    got = [d for d in [*map(p.feed, lines), p.finish()] if d]
-    assert [(d.commit, d.path, bytes(d.content), d.lines) for d in got] == [(sha.decode(), "x", b"one\n++ b/not a header\nlate\n", [1, 2, 20])]
-    small = git.PatchParser(4)
-    assert [d.oversized for d in [*map(small.feed, lines[:6]), small.feed(b"+more"), small.finish()] if d] == [True]
+def test_file_diffs():
+    sha, other = b"a" * 40, b"b" * 40
+    lines = [
+        sha, b"", b"diff --git a/x b/x", b"--- a/x", b"+++ b/x", b"@@ -0,0 +1,2 @@", b"+one", b"+++ b/not a header", b"@@ -9 +20 @@", b"-" + other, b"\\ No newline at end of file", b"+late", b"\\ No newline at end of file",
+        b"diff --git a/y b/y", b"--- a/y", b"+++ /dev/null", b"@@ -1 +0,0 @@", b"-gone", b"diff --cc z", b"+++ b/z", b"@@@ -1 -1 +1 @@@", b"++no", b"+++ b/w", b"diff --git a/u b/u", b"+++ b/../u", b"@@ -0,0 +1 @@", b"+x",
+        other, b"diff --git a/q b/q", b'+++ "b/t\\303\\251\\t.txt"', b"@@ -0,0 +3 @@", b"+diff --git a/p b/p", b"diff --git a/s b/s", b"+++ b/s s\t", b"@@ -0,0 +1,9 @@", b"+cut off",
+    ]
+    got = [(d.commit, d.path, bytes(d.content), d.lines) for d in git.file_diffs(iter(x + b"\n" for x in lines), 1000)]
+    a, b = sha.decode(), other.decode()
+    assert got == [(a, "x", b"one\n++ b/not a header\nlate\n", [1, 2, 20]), (b, "té\t.txt", b"diff --git a/p b/p\n", [3]), (b, "s s", b"cut off\n", [1])]
+    assert [d.path for d in git.file_diffs(iter(lines), 1000, lambda p: p != "x")] == ["té\t.txt", "s s"]
+    assert [(d.path, d.oversized) for d in git.file_diffs(iter(lines), 8)] == [("x", True), ("té\t.txt", True), ("s s", False)]
 
 
 def test_streams(spark, tmp_path):
@@ -152,3 +157,173 @@ def test_cli(spark, tree, capsys):
     assert cli.main(["merge-rules", str(tree / "m.toml"), "--out", str(tree / "o.toml"), "--report", str(tree / "rep.json")]) == 0
     assert cli.main(["merge-rules", str(tree / "m.toml"), "--out", str(tree / "o.toml"), "--check"]) == 0
     assert cli.main(["list-rules", "--rules", str(tree / "o.toml")]) == 0
+
+
+def test_links_and_special_files_are_not_read(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "secret.txt").write_text("SECRET123456")
+    (tmp_path / "t" / "own.txt").write_text("SECRET222222")
+    os.symlink(tmp_path / "secret.txt", tmp_path / "t" / "link.txt")
+    os.symlink(tmp_path, tmp_path / "t" / "loop")
+    os.mkfifo(tmp_path / "t" / "pipe")
+    s = Scanner.from_toml(TOML)
+    rep = s.scan_path(spark, str(tmp_path / "t"))
+    assert [r.file for r in rep.findings.collect()] == [f"{tmp_path}/t/own.txt"]
+    assert (rep.stats.first().files_scanned, rep.stats.first().errored) == (1, 0)
+    assert s.scan_path(spark, str(tmp_path / "secret.txt")).findings.count() == 1
+    for named in ("t/link.txt", "t/pipe", "none.txt"):
+        rep = s.scan_path(spark, str(tmp_path / named))
+        assert rep.findings.isEmpty() and rep.stats.first().errored == 1 and rep.exit_code(error_on_unreadable=True) == 2
+    (tmp_path / "x.png").write_text("SECRET123456")
+    assert s.scan_path(spark, str(tmp_path / "x.png")).stats.first().errored == 1
+    assert s.with_config(ScanConfig(git_mode="history")).scan_path(spark, str(tmp_path / "secret.txt")).stats.first().git_failed
+
+
+def test_unreadable_folders_count_as_errors(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_text("x")
+    (tmp_path / "shut").mkdir()
+    scandir = os.scandir
+    monkeypatch.setattr(os, "scandir", lambda p: (_ for _ in ()).throw(PermissionError()) if str(p).endswith("shut") else scandir(p))
+    st = Scanner.from_toml(TOML).scan_path(spark, str(tmp_path)).stats.first()
+    assert (st.files_scanned, st.errored) == (1, 1)
+
+
+@pytest.fixture(scope="module")
+def repo(tmp_path_factory):
+    root = tmp_path_factory.mktemp("repo") / "r"
+    root.mkdir()
+    sh(root, "init", "-q", "-b", "main")
+    (root / "a.py").write_text("SECRET111111\nSECRET222222\n")
+    (root / "z.txt").write_text("clean\n")
+    (root / "pic.png").write_text("SECRET333333\n")
+    (root / "node_modules").mkdir()
+    (root / "node_modules" / "n.js").write_text("SECRET444444\n")
+    (root / "raw.dat").write_bytes(b"\x01" * 8 + b"SECRET777777\n")
+    sh(root, "add", ".")
+    sh(root, "commit", "-q", "-m", "one")
+    (root / "b.txt").write_text("SECRET555555\n")
+    (root / "gone.txt").write_text("SECRET666666\n")
+    sh(root, "add", ".")
+    sh(root, "commit", "-q", "-m", "two")
+    (root / "gone.txt").unlink()
+    sh(root, "commit", "-q", "-am", "three")
+    return root
+
+
+def test_relative_roots(spark, repo, monkeypatch):
+    monkeypatch.chdir(repo.parent)
+    for mode in (None, "tracked", "changed", "staged", "history"):
+        (repo / "b.txt").write_text("SECRET555555\nSECRET999999\n")
+        sh(repo, "add", "b.txt")
+        s = Scanner.from_toml(TOML, ScanConfig(git_mode=mode))
+        got = [(r.file, r.line) for r in s.scan_path(spark, "r").findings.collect()]
+        far = [(r.file, r.line) for r in s.scan_path(spark, str(repo)).findings.collect()]
+        assert got and [(f"{repo.parent}/{f}", n) for f, n in got] == far, mode
+        monkeypatch.chdir(repo)
+        assert [(f, n) for f, n in got] == [("r/" + r.file.removeprefix("./"), r.line) for r in s.scan_path(spark, ".").findings.collect()], mode
+        monkeypatch.chdir(repo.parent)
+    assert cli.main(["scan", "r", "--git-tracked", "--format", "json"]) in (0, 1)
+
+
+def test_history_caps_and_filters(spark, repo):
+    def report(**c):
+        rep = Scanner.from_toml(TOML, ScanConfig(git_mode="history", **c)).scan_path(spark, str(repo))
+        return [(r.file.rsplit("/", 1)[1], r.line) for r in rep.findings.collect()], rep.stats.first()
+
+    whole, st = report()
+    assert whole == [("a.py", 1), ("a.py", 2), ("b.txt", 1), ("gone.txt", 1)]
+    assert (st.files_scanned, st.binary_skipped, st.findings_truncated, st.files_over_cap) == (4, 1, False, 0)
+    assert ("raw.dat", 1) in report(binary="scan")[0] and ("pic.png", 1) in report(binary="scan")[0]
+    some, st = report(max_files=2)
+    assert {f for f, _ in some} == {"b.txt", "gone.txt"} and st.files_over_cap == 3 and st.files_scanned == 2
+    one, st = report(max_findings=1)
+    assert len(one) == 1 and st.findings_truncated
+    none, st = report(max_findings=0)
+    assert not none and st.findings_truncated and st.files_scanned == 0
+    _, st = report(max_findings_per_file=1)
+    assert st.findings_truncated
+    small, st = report(max_file_size=20)
+    assert ("a.py", 1) not in small and st.oversized_skipped == 2
+    assert report(history_options=("--max-count=1",))[0] == []
+    bad = Scanner.from_toml(TOML, ScanConfig(git_mode="history", max_findings=0)).scan_path(spark, "/")
+    assert bad.stats.first().git_failed
+    with pytest.raises(ConfigError):
+        ScanConfig(git_mode="history", history_options=("--output=x",))
+
+
+def test_history_over_what_the_driver_holds(spark, repo, monkeypatch):
+    monkeypatch.setattr(files, "HELD", 300)
+    got = Scanner.from_toml(TOML, ScanConfig(git_mode="history")).scan_path(spark, str(repo))
+    assert got.findings.count() == 4 and got.stats.first().files_scanned == 4
+    (repo / "b.txt").write_text("SECRET555555\nSECRET999999\n")
+    sh(repo, "add", "b.txt")
+    staged = Scanner.from_toml(TOML, ScanConfig(git_mode="staged")).scan_path(spark, str(repo))
+    assert staged.findings.count() == 2
+
+
+def test_total_cap_ends_the_scan(spark, repo):
+    def report(n):
+        rep = Scanner.from_toml(TOML, ScanConfig(max_findings=n)).scan_path(spark, str(repo))
+        st = rep.stats.first()
+        rep.release()
+        return rep.findings.count(), st.files_scanned, st.findings_truncated
+
+    assert report(1) == (1, 1, True) and report(2) == (2, 1, True) and report(0) == (0, 0, True)
+    (n, _, cut) = report(100)
+    assert not cut and report(n)[0] == n and report(n)[2]  # clean files are left over
+
+
+def test_per_file_cap_is_told(spark, repo):
+    st = Scanner.from_toml(TOML, ScanConfig(max_findings_per_file=1)).scan_path(spark, str(repo)).stats.first()
+    assert st.findings_truncated
+
+
+def test_exit_codes_and_rule_sources(spark, repo, tmp_path, monkeypatch, capsys):
+    bad, good = tmp_path / "bad.toml", tmp_path / "good.toml"
+    bad.write_text("[[rules]]\nid='a'\nregex='('\n")
+    good.write_text(TOML)
+    assert cli.main(["scan", str(repo), "--rules", str(bad)]) == 3
+    assert cli.main(["scan", str(repo), "--rules", str(tmp_path / "none")]) == 3
+    assert cli.main(["scan", str(tmp_path), "--git-history", "--rules", str(good), "--no-fail"]) == 2
+    monkeypatch.setenv("XDG_DATA_HOME", str(tmp_path / "data"))
+    monkeypatch.chdir(tmp_path)
+    assert cli.main(["update-rules", "--source", str(good), "--check"]) == 1
+    assert cli.main(["update-rules", "--source", str(good)]) == 0
+    assert cli.main(["update-rules", "--source", str(good), "--check"]) == 0
+    capsys.readouterr()
+    assert cli.main(["scan", str(repo / "a.py"), "--format", "json"]) == 1  # the cached rules
+    assert [r["rule_id"] for r in json.loads(capsys.readouterr().out)] == ["k", "k"]
+    monkeypatch.setenv("SIEVEGLASS_RULES", str(bad))
+    assert cli.main(["scan", str(repo / "a.py")]) == 3
+    monkeypatch.delenv("SIEVEGLASS_RULES")
+    assert cli.main(["scan", str(repo), "--git-history", "--log-opts=--max-count=1", "--rules", str(good)]) == 0
+    capsys.readouterr()
+    assert cli.main(["scan", str(repo / "a.py"), str(repo / "b.txt"), "--rules", str(good), "--max-findings", "2", "--format", "json"]) == 1
+    assert len(json.loads(capsys.readouterr().out)) == 2
+
+
+def test_manifests(tmp_path):
+    from sieveglass.errors import RulesetError
+    from sieveglass.rules import merge
+
+    rows = [{"name": "a", "priority": 1, "embed": True}, {"name": "b", "priority": 5}]
+    for key in ("source", "sources"):
+        assert [s["name"] for s in merge.select({key: rows})] == ["b", "a"]
+        assert [s["name"] for s in merge.select({key: rows}, True)] == ["a"]
+    with pytest.raises(RulesetError):
+        merge.select({})
+
+
+def test_generic_parts_of_ids(spark):
+    rows = [(f"{v}-api-token", s) for v in ("acme", "bolt", "cone") for s in "ab"] + [("api-token", "a"), ("acme-secret", "b"), ("solo", "a")]
+    got = {r.stem: (r.n_rules, r.n_sources) for r in R.vendor_clusters(spark.createDataFrame(rows, "rule_id string, source string")).collect()}
+    assert got == {"acme": (3, 2), "bolt": (2, 2), "cone": (2, 2)}
+
+
+def test_sql_fingerprint_and_entropy(spark):
+    from sieveglass.operators.engine import entropy, finding_fingerprint
+
+    register_functions(spark, Scanner.from_toml(TOML))
+    r = spark.sql("select secret_fingerprint('r', 'f', 'sécret') a, secret_entropy('aabbé') b, secret_entropy('') c, secret_entropy(null) d, secret_redact(null) e").first()
+    assert (r.a, r.c, r.d, r.e) == (finding_fingerprint("sieveglass", "r", "f", "sécret".encode()), 0.0, None, None)
+    assert r.b == pytest.approx(entropy("aabbé".encode()))
