@@ -16,9 +16,10 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import ahocorasick
+import regex
 
 from ..config import ScanConfig
-from ..rules.dialect import compiled
+from ..rules.dialect import UnsupportedPattern, compiled
 from ..rules.model import Allowlist, Rule, Ruleset
 
 MARKER = "[REDACTED_SECRET]"
@@ -154,6 +155,16 @@ class Engine:
                     self.automaton.add_word(k, (k, tuple(at)))
             self.automaton.make_automaton()
 
+    @cached_property
+    def any_unkeyworded(self) -> regex.Pattern | None:
+        """One pattern for all rules without keywords, so that a text without any of them is read once; None where they can't be joined or there is only one."""
+        if len(self.unkeyworded) < 2:
+            return None
+        try:
+            return compiled("|".join(f"(?:{r.regex})" for r in self.unkeyworded))
+        except UnsupportedPattern:
+            return None
+
     def path_allowed(self, path: str) -> bool:
         """True if a global allowlist takes the whole document out."""
         for a in self.rules.allowlists:
@@ -194,8 +205,9 @@ class Engine:
         out = [self._path_finding(r, path) for r in self.path_only if compiled(r.path).search(path)]
         for i in self.candidates(doc):
             self._match(self.keyworded[i], doc, out)
-        for r in self.unkeyworded:
-            self._match(r, doc, out)
+        if self.any_unkeyworded is None or self.any_unkeyworded.search(doc.text):
+            for r in self.unkeyworded:
+                self._match(r, doc, out)
         if self.config.capture_context:
             self._context(doc, out)
         return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -202,30 +203,120 @@ def utf16_col(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.utf16_column(F.col("text")).cast("long").alias("col_utf16"))
 
 
+def scanned(spark: SparkSession, sf: str, toml: str, **options) -> DataFrame:
+    """Findings of a ruleset over all documents, by the scanner."""
+    config = ScanConfig(**({"redact": False, "max_file_size": 1 << 40, "capture_context": False} | options))
+    return Scanner.from_toml(toml, config).scan(docs(spark, sf), "path", "text")
+
+
+def rule(name: str, pattern: str, *more: str) -> str:
+    return "\n".join(["[[rules]]", f"id = '{name}'", f"regex = '''{pattern}'''", *more, ""])
+
+
+def allowing(*more: str) -> str:
+    return "\n".join(["[[rules.allowlists]]", *more, ""])
+
+
 @query(f"{sql_hits(IPV4)} SELECT file, secret FROM u WHERE NOT (regexp_matches(secret, '^1') OR contains(secret, '.2'))")
 def allowlist_stopword(spark, sf):
-    f = flat(spark, sf, "ipv4")
-    return f.where(~(F.col("secret").rlike("^1") | F.contains("secret", F.lit(".2")))).select("file", "secret")
+    return scanned(spark, sf, rule("ipv4", IPV4) + allowing("regexes = ['^1']", "stopwords = ['.2']")).select("file", F.col("matched").alias("secret"))
 
 
 @query(f"{sql_hits(IPV4)} SELECT file, secret FROM u WHERE NOT (regexp_matches(secret, '^1') AND regexp_matches(file, '^src1'))")
 def allowlist_regex_and(spark, sf):
-    f = flat(spark, sf, "ipv4")
-    return f.where(~(F.col("secret").rlike("^1") & F.col("file").rlike("^src1"))).select("file", "secret")
+    return scanned(spark, sf, rule("ipv4", IPV4) + allowing("condition = 'AND'", "regexes = ['^1']", "paths = ['^src1']")).select("file", F.col("matched").alias("secret"))
 
 
 @query(f"SELECT file, rule_id, secret FROM (SELECT * FROM ({sql_hits(IPV4)} SELECT file, 'ipv4' AS rule_id, secret FROM u) UNION ALL SELECT * FROM ({sql_hits(EMAIL)} SELECT file, 'email', secret FROM u)) WHERE NOT (rule_id = 'ipv4' AND regexp_matches(secret, '^1'))")
 def allowlist_target_rules(spark, sf):
-    f = flat(spark, sf, "ipv4").unionByName(flat(spark, sf, "email")).select("file", "rule_id", "secret")
-    allow = spark.createDataFrame([("ipv4", "^1")], "target string, pattern string")
-    return f.join(F.broadcast(allow), (F.col("rule_id") == F.col("target")) & F.col("secret").rlike("^1"), "left_anti")
+    toml = "[[allowlists]]\ntargetRules = ['ipv4']\nregexes = ['^1']\n" + rule("ipv4", IPV4) + rule("email", EMAIL)
+    return scanned(spark, sf, toml).select("file", "rule_id", F.col("matched").alias("secret"))
+
+
+@query(f"{sql_hits(EMAIL)}, w AS (SELECT u.file, {LINE} AS line, u.secret, d.text FROM u JOIN d USING (file)) SELECT file, line, secret FROM w WHERE NOT contains(lower(string_split(text, chr(10))[line]), 'and the')")
+def allowlist_on_the_line(spark, sf):
+    """Stopwords against the line, case aside."""
+    return scanned(spark, sf, rule("email", EMAIL) + allowing("regexTarget = 'line'", "stopwords = ['AND the']")).select("file", "line", F.col("matched").alias("secret"))
 
 
-@query(f"{sql_hits(EMAIL)}, w AS (SELECT u.file, {LINE} AS line, u.secret, d.text FROM u JOIN d USING (file)) SELECT file, line, secret FROM w WHERE NOT contains(string_split(text, chr(10))[line], 'the ')")
+@query(f"{sql_hits(EMAIL)}, w AS (SELECT u.file, {LINE} AS line, u.secret, d.text FROM u JOIN d USING (file)) SELECT file, line, secret FROM w WHERE NOT contains(string_split(text, chr(10))[line], 'the:allow')")
 def inline_allow_marker(spark, sf):
-    d = docs(spark, sf).withColumnRenamed("path", "file")
-    f = flat(spark, sf, "email").join(d, "file")
-    return f.where(~X.has_marker(F.element_at(F.split("text", "\n", -1), F.col("line").cast("int")), ("the ",))).select("file", "line", "secret")
+    """The scanner's own marker, written into every second document in place of a frequent word."""
+    marked = docs(spark, sf).withColumn("text", F.replace("text", F.lit("the "), F.lit("the:allow ")))
+    found = Scanner.from_toml(rule("email", EMAIL), ScanConfig(redact=False, max_file_size=1 << 40, namespace="the", capture_context=False)).scan(marked, "path", "text")
+    return found.select("file", "line", F.col("matched").alias("secret"))
+
+
+ORACLES["inline_allow_marker"] = f"{sql_hits(EMAIL, f'SELECT {FILE} AS file, replace(text, {literal(chr(116) + "he ")}, {literal("the:allow ")}) AS text FROM documents')}, w AS (SELECT u.file, {LINE} AS line, u.secret, d.text FROM u JOIN d USING (file)) SELECT file, line, secret FROM w WHERE NOT contains(string_split(text, chr(10))[line], 'the:allow')"
+
+
+@query(f"{sql_hits(EMAIL)} SELECT file, 'email' AS rule_id, secret AS matched FROM u WHERE NOT regexp_matches(file, '[37]\\.txt$') UNION ALL SELECT {FILE}, 'path', 'File path matches pattern: ' || {FILE} FROM documents WHERE NOT regexp_matches({FILE}, '[37]\\.txt$') AND regexp_matches({FILE}, '1\\.txt$')")
+def path_allowlist(spark, sf):
+    """A global allowlist of paths takes whole documents out, path rules too; one with targets doesn't."""
+    toml = "[[allowlists]]\npaths = ['[37]\\.txt$']\n[[allowlists]]\ntargetRules = ['none']\npaths = ['1\\.txt$']\n" + rule("email", EMAIL) + "[[rules]]\nid = 'path'\npath = '''[13]\\.txt$'''\n"
+    return scanned(spark, sf, toml).select("file", "rule_id", "matched")
+
+
+@query(f"{sql_hits(EMAIL)} SELECT file, secret FROM u WHERE regexp_matches(file, '^src[12]/')")
+def rule_path_filter(spark, sf):
+    return scanned(spark, sf, rule("email", EMAIL, "path = '^src[12]/'", "keywords = ['@']")).select("file", F.col("matched").alias("secret"))
+
+
+@query(f"""WITH o AS (SELECT {FILE} AS file, 'path' AS rule_id, 0 AS k, 0 AS i FROM documents WHERE regexp_matches({FILE}, '[135]\\.txt$')
+UNION ALL SELECT * FROM ({sql_hits(IPV4)} SELECT file, 'ipv4', 1, i FROM u) UNION ALL SELECT * FROM ({sql_hits(EMAIL)} SELECT file, 'email', 2, i FROM u) UNION ALL SELECT * FROM ({sql_hits(CARD)} SELECT file, 'card', 3, i FROM u))
+SELECT file, rule_id, CAST(row_number() OVER (PARTITION BY file ORDER BY k, i) - 1 AS INTEGER) AS emit_ord FROM o""")
+def emission_order(spark, sf):
+    """Path rules, then rules with keywords, then those without; within each by the ruleset and the place."""
+    toml = rule("card", CARD) + rule("ipv4", IPV4, "keywords = ['.']") + "[[rules]]\nid = 'path'\npath = '''[135]\\.txt$'''\n" + rule("email", EMAIL, "keywords = ['@']")
+    return scanned(spark, sf, toml).select("file", "rule_id", F.col("emit_ord").cast("int").alias("emit_ord"))
+
+
+@query(f"SELECT {FILE} AS path, regexp_replace(text, '{EMAIL}', '[REDACTED_SECRET]', 'g') AS redacted, least(len(regexp_extract_all(text, '{EMAIL}')), 1)::INTEGER AS n, len(regexp_extract_all(text, '{EMAIL}')) > 1 AS findings_truncated FROM documents")
+def uncapped_redaction(spark, sf):
+    """The cap bounds the list; every finding is redacted."""
+    out = Scanner.from_toml(rule("email", EMAIL), ScanConfig(max_file_size=1 << 40, max_findings_per_file=1)).scan_and_redact(docs(spark, sf), "path", "text")
+    return out.select("path", F.col("redacted_content").alias("redacted"), F.size("findings").alias("n"), "findings_truncated")
+
+
+@query(f"{sql_hits(EMAIL)}, t AS (SELECT DISTINCT u.file, {LINE} AS line, string_split(regexp_replace(text, '{EMAIL}', '[REDACTED_SECRET]', 'g'), chr(10)) AS ls FROM u JOIN d USING (file)), n AS (SELECT file, line, ls, unnest(range(greatest(line - 2, 1), least(line + 2, len(ls)) + 1)) AS k FROM t) SELECT file, line, k AS ctx_line, rtrim(ls[k], ' ' || chr(9) || chr(13)) AS content FROM n")
+def redacted_context(spark, sf):
+    """Lines around a finding show none of the document's secrets."""
+    found = scanned(spark, sf, rule("email", EMAIL), capture_context=True).select("file", "line", F.explode("context_lines").alias("c")).distinct()
+    return found.select("file", "line", F.col("c.line").alias("ctx_line"), F.col("c.content").alias("content"))
+
+
+def sql_hmac(key: bytes, message: str) -> str:
+    block = key.ljust(64, b"\0")
+    inner, outer = (bytes(b ^ x for b in block).hex() for x in (0x36, 0x5C))
+    return f"'hmac-sha256:' || sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || {message})))"
+
+
+def sql_framed(*parts: str) -> str:
+    return sql_digest(*parts).removeprefix("'sha256:' || sha256(").removesuffix(")")
+
+
+@query(f"{sql_hits(EMAIL)} SELECT file, CAST(strlen(before) AS BIGINT) AS start_offset, {sql_hmac(b'a key of the tests', sql_framed(literal(NS + '/finding/v2'), literal('email'), 'file', 'secret'))} AS fingerprint FROM u")
+def keyed_fingerprint(spark, sf):
+    old = os.environ.get(detect.KEY_VARIABLE)
+    os.environ[detect.KEY_VARIABLE] = "a key of the tests"  # read when the scan is made
+    try:
+        return scanned(spark, sf, rule("email", EMAIL)).select("file", "start_offset", "fingerprint")
+    finally:
+        if old is None:
+            del os.environ[detect.KEY_VARIABLE]
+        else:
+            os.environ[detect.KEY_VARIABLE] = old
+
+
+FNV = "list_reduce(list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS HUGEINT)), lambda h, b: CAST(xor(CAST(h AS UBIGINT), CAST(b AS UBIGINT)) AS HUGEINT) * 1099511628211 % 18446744073709551616, 14695981039346656037::HUGEINT)"
+
+
+@query(f"SELECT p_partkey, lower(lpad(to_hex(CAST({FNV.format('p_name || chr(1) || p_brand')} AS UBIGINT)), 16, '0')) AS fnv FROM part")
+def legacy_fingerprint(spark, sf):
+    from ..operators.engine import fnv1a
+
+    hashed = F.pandas_udf(lambda a, b: a.str.cat(b, "\x01").map(lambda x: fnv1a([x.encode()])), "string")
+    return table(spark, sf, "part").select("p_partkey", hashed(F.col("p_name"), F.col("p_brand")).alias("fnv"))
 
 
 @query(f"{sql_hits(CARD)} SELECT file, secret FROM u WHERE strlen(secret) >= 8 AND round({sql_entropy('secret')}, 9) >= greatest(2.0, 2.9)")
@@ -276,16 +367,91 @@ def scan_stats(spark, sf):
     return R.scan_stats(R.disposition(rows, ScanConfig(max_file_size=4000), F.lit(False)))
 
 
-@query("SELECT ['PolicySkipped', 'FileCapReached'] AS reasons, CAST(3 AS BIGINT) AS files_over_cap")
+PER_PART = "SELECT doc_id % 4 AS part, count(*) FILTER (strlen(text) > 12000 AND doc_id % 4 <> 3) AS oversized, count(*) FILTER (strlen(text) <= 12000 OR doc_id % 4 = 3) AS scanned FROM documents GROUP BY ALL"
+
+
+def _stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of four parts of the corpus: one hits a file cap, one a time budget, one has no limit of size."""
+    rows = table(spark, sf, "documents").select((F.col("doc_id") % 4).alias("part"), path_col().alias("path"), F.encode("text", "UTF-8").alias("content"))
+    out = None
+    for part in range(4):
+        state = R.disposition(rows.where(F.col("part") == part), ScanConfig(max_file_size=1 << 40 if part == 3 else 12000), F.lit(False))
+        one = R.scan_stats(state, 2 * (part == 1), part == 2, history_timed_out=part == 2).withColumn("part", F.lit(part).cast("long"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"SELECT part, list_filter([CASE WHEN part = 2 THEN 'HistoryTimedOut' END, CASE WHEN oversized > 0 THEN 'PolicySkipped' END, CASE WHEN part = 1 THEN 'FileCapReached' END], lambda x: x IS NOT NULL) AS reasons FROM ({PER_PART})")
 def coverage_reasons(spark, sf):
-    rows = docs(spark, sf).select("path", F.encode("text", "UTF-8").alias("content"))
-    stats = R.scan_stats(R.disposition(rows, ScanConfig(max_file_size=4000), F.lit(False)), files_over_cap=3)
-    return R.coverage_reasons(stats).select("reasons", "files_over_cap")
+    return R.coverage_reasons(_stats(spark, sf)).select("part", "reasons")
+
+
+@query(f"SELECT CAST(sum(scanned) AS BIGINT) AS files_scanned, CAST(sum(oversized) AS BIGINT) AS oversized_skipped, CAST(sum(CASE WHEN part = 1 THEN 2 ELSE 0 END) AS BIGINT) AS files_over_cap, bool_or(part = 2) AS findings_truncated, bool_or(part = 2) AS history_timed_out, false AS git_failed FROM ({PER_PART})")
+def folded_stats(spark, sf):
+    return R.fold_stats(_stats(spark, sf).drop("part")).select("files_scanned", "oversized_skipped", "files_over_cap", "findings_truncated", "history_timed_out", "git_failed")
+
 
+@query(f"SELECT part, oversized > 0 OR part IN (1, 2) AS incomplete, CAST(oversized AS BIGINT) AS skipped_by_policy FROM ({PER_PART})")
+def incomplete_scans(spark, sf):
+    return R.incomplete(_stats(spark, sf)).select("part", "incomplete", "skipped_by_policy")
 
-@query("SELECT doc_id, false AS is_binary FROM documents")
+
+ODD = "repeat(chr(1), CAST(doc_id % 60 AS INTEGER)) || left(text, 100)"
+IS_BINARY = f"(strlen({ODD}) > 0 AND (doc_id % 60) * 100 // strlen({ODD}) > 30)"
+
+
+def _odd(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that begin with up to 59 control characters; every fourth has the name of a source file."""
+    text = F.concat(F.repeat(F.lit("\x01"), (F.col("doc_id") % 60).cast("int")), F.left("text", F.lit(100)))
+    path = F.concat(path_col(), F.when(F.col("doc_id") % 4 == 0, ".json").otherwise(""))
+    return table(spark, sf, "documents").select("doc_id", path.alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+@query(f"SELECT doc_id, {IS_BINARY} AS is_binary FROM documents")
 def binary_sniff(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.is_probably_binary(F.encode("text", "UTF-8")).alias("is_binary"))
+    return _odd(spark, sf).select("doc_id", X.is_probably_binary(F.col("content")).alias("is_binary"))
+
+
+@query(f"SELECT doc_id, CASE WHEN strlen({ODD}) = 0 THEN 'empty' WHEN doc_id % 4 <> 0 AND {IS_BINARY} THEN 'binary' ELSE 'scan' END AS auto, CASE WHEN strlen({ODD}) = 0 THEN 'empty' WHEN {IS_BINARY} THEN 'binary' ELSE 'scan' END AS skip, CASE WHEN strlen({ODD}) = 0 THEN 'empty' ELSE 'scan' END AS scan FROM documents")
+def binary_policy(spark, sf):
+    rows = _odd(spark, sf)
+    for policy in ("auto", "skip", "scan"):
+        rows = R.disposition(rows, ScanConfig(binary=policy), F.lit(False)).withColumnRenamed("disposition", policy)
+    return rows.select("doc_id", "auto", "skip", "scan")
+
+
+CUMULATED = "list_transform(range(61), lambda i: strlen(left(text, i)))"
+
+
+@query(f"SELECT doc_id, left(text, len(list_filter({CUMULATED}, lambda c: c <= 7)) - 1) || '[REDACTED_SECRET]' || substr(text, len(list_filter({CUMULATED}, lambda c: c < 12)) + 1) AS redacted FROM documents WHERE strlen(text) >= 60")
+def widened_spans(spark, sf):
+    """A span of bytes 7 to 12 is widened to whole characters."""
+    from ..operators.engine import redact_spans
+
+    cut = F.pandas_udf(lambda t: t.map(lambda x: redact_spans(x.encode(), [(7, 12)]).decode()), "string")
+    return table(spark, sf, "documents").where("octet_length(text) >= 60").select("doc_id", cut(F.col("text")).alias("redacted"))
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(string_split(p_name || ' ' || upper(p_name) || ' ' || p_type, ' '), lambda x: lower(x)))), '|') AS keywords FROM part")
+def keyword_set(spark, sf):
+    words = F.split(F.concat_ws(" ", "p_name", F.upper("p_name"), "p_type"), " ")
+    return table(spark, sf, "part").select("p_partkey", F.array_join(X.keyword_set(words), "|").alias("keywords"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 3 THEN [10, 20, 35][l_linenumber] ELSE l_linenumber END::BIGINT AS line, CASE WHEN l_linenumber <= 2 THEN [10, 20, 35][l_linenumber + 1] ELSE l_linenumber + 1 END::BIGINT AS end_line, CASE WHEN l_linenumber <= 3 THEN [10, 20, 35][l_linenumber] ELSE l_linenumber END::BIGINT AS context FROM lineitem")
+def remapped_lines(spark, sf):
+    n = F.col("l_linenumber").cast("long")
+    context = F.array(F.struct(n.alias("line"), F.lit("x").alias("content")))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", n.alias("line"), (n + 1).alias("end_line"), context.alias("context_lines"), F.array(*(F.lit(x).cast("long") for x in (10, 20, 35))).alias("line_map"))
+    return R.remap_lines(rows).select("l_orderkey", "l_linenumber", "line", "end_line", F.col("context_lines")[0]["line"].alias("context"))
+
+
+@query(f"{sql_hits(EMAIL)} SELECT file, CAST(strlen(before) AS BIGINT) AS start_offset FROM u WHERE NOT starts_with(file, 'src1') ORDER BY file, strlen(before) LIMIT 9")
+def cap_after_suppression(spark, sf):
+    """With a baseline the total cap applies to what it leaves, in final order."""
+    found = scanned(spark, sf, rule("email", EMAIL))
+    left = R.suppress_baseline(found, found.where(F.col("file").startswith("src1")))
+    return R.sorted_findings(left).limit(9).select("file", "start_offset")
 
 
 @query("SELECT url, NOT regexp_matches(lower(url), '\\.(png|jpg|jpeg|gif|ico|webp|bmp|tiff|woff|woff2|ttf|eot|otf|pdf|zip|tar|gz|bz2|xz|7z|zst|exe|dll|so|dylib|bin|o|a|pyc|pyo|class|jar|war|mp3|mp4|avi|mov|mkv|flv|sqlite|db)$') AND NOT regexp_matches(url, '(^|/)(node_modules|\\.git|target|dist|vendor|\\.cache|__pycache__|\\.venv|venv|\\.tox|build)/') AS scanned, regexp_matches(lower(url), '\\.(pem|key|json|yaml|yml|toml|properties)$|(^|/)(\\.env[^/]*|\\.npmrc|\\.pypirc|dockerfile(\\.[^/]*)?|makefile)$') AS source_like FROM pages")
@@ -318,7 +484,18 @@ def full_scan(spark, sf):
     return found.where("rule_id != 'token'").select("file", "rule_id", "line", "col", "start_offset", "end_offset", "matched", F.round("entropy", 6).alias("entropy"))
 
 
-@query()
+def _spans_sql() -> str:
+    """(file, a, b, i) in characters of all secrets of the oracle ruleset."""
+    parts = [(TOKEN, 9, 1, f"{sql_entropy('substr(secret, 10, 40)')} >= 3.0"), (EMAIL, 0, 0, "true"), (CARD, 0, 0, f"{sql_entropy('secret')} >= 2.0"), (IPV4, 0, 0, "NOT regexp_matches(secret, '^127\\.')")]
+    return " UNION ALL ".join(f"SELECT * FROM ({sql_hits(p)} SELECT file, length(before) + {x} AS a, length(before) + length(secret) - {y} AS b FROM u WHERE {w})" for p, x, y, w in parts)
+
+
+@query(f"""WITH s AS ({_spans_sql()}), m AS (SELECT *, max(b) OVER (PARTITION BY file ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m),
+n AS (SELECT file, min(a) AS a, max(b) AS b, count(*) AS k FROM g GROUP BY file, island), l AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY file ORDER BY a), 0) AS prior FROM n),
+t AS (SELECT {FILE} AS path, text FROM documents),
+r AS (SELECT path, string_agg(substr(text, prior + 1, a - prior) || '[REDACTED_SECRET]', '' ORDER BY a) || substr(any_value(text), max(b) + 1) AS redacted, sum(k) AS n FROM l JOIN t ON path = file GROUP BY path)
+SELECT path, coalesce(redacted, text) AS redacted, CAST(coalesce(n, 0) AS INTEGER) AS n_findings, false AS findings_truncated FROM t LEFT JOIN r USING (path)""")
 def redacted_documents(spark, sf):
     """Every whole document redacted with the oracle ruleset."""
     out = Scanner(model.load(RULES_TOML), ScanConfig(max_file_size=1 << 40)).scan_and_redact(docs(spark, sf), "path", "text")
@@ -350,9 +527,59 @@ def normalized_near_dups(spark, sf):
     return _rules(spark).withColumn("norm", norm).select("rule_id", "source", "norm", F.first("rule_id").over(R.Window.partitionBy("norm").orderBy("ord")).alias("first_id"))
 
 
-@query("SELECT 'github' AS stem, CAST(2 AS BIGINT) AS n_rules, CAST(2 AS BIGINT) AS n_sources UNION ALL SELECT 'r1', 2, 2")
+STEMS = "SELECT r_name AS r, lower(replace(r_name, ' ', '')) AS v FROM region"
+
+
+@query(f"""WITH v AS ({STEMS}), i AS (SELECT DISTINCT v || '-' || w AS id, s FROM v, (VALUES ('api-token', 'a'), ('api-token', 'b'), ('secret', 'b')) k(w, s) UNION ALL SELECT 'api-' || v, 'a' FROM v UNION ALL SELECT v || length(v), 'a' FROM v)
+SELECT v AS stem, CAST(count(*) AS BIGINT) AS n_rules, CAST(count(DISTINCT s) AS BIGINT) AS n_sources FROM (SELECT v, s FROM v JOIN i ON id IN (v || '-api-token', v || '-secret', 'api-' || v)) GROUP BY v""")
 def vendor_clusters(spark, sf):
-    return R.vendor_clusters(_rules(spark))
+    """Vendors are the regions; api, token and secret stand beside all of them, so they are nobody's name."""
+    v = table(spark, sf, "region").select(F.lower(F.replace("r_name", F.lit(" "), F.lit(""))).alias("v"))
+    kinds = spark.createDataFrame([("api-token", "a"), ("api-token", "b"), ("secret", "b")], "w string, source string")
+    own = v.join(F.broadcast(kinds)).select(F.concat_ws("-", "v", "w").alias("rule_id"), "source")
+    more = v.select(F.concat(F.lit("api-"), "v").alias("rule_id"), F.lit("a").alias("source")).unionByName(v.select(F.concat("v", F.length("v").cast("string")).alias("rule_id"), F.lit("a").alias("source")))
+    return R.vendor_clusters(own.unionByName(more))
+
+
+@query("SELECT p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_type, lower(p_brand), p_size % 2, p_size % 3 = 0 ORDER BY p_partkey) AS n FROM part) WHERE n = 1")
+def equivalent_rules(spark, sf):
+    """Of rules with one pattern that detect the same only the first stays; 3 and 3.0 are different."""
+    from ..rules import merge
+
+    rows = table(spark, sf, "part").orderBy("p_partkey").collect()  # a ruleset is small
+    rules = [{"id": str(r.p_partkey), "regex": r.p_type, "keywords": [r.p_brand, r.p_brand.upper()][:: 1 if r.p_partkey % 2 else -1], "secretGroup": r.p_size % 2, "entropy": 3 if r.p_size % 3 == 0 else 3.0} for r in rows]
+    kept, _ = merge.merge([merge.Source("part", 1, {"rules": rules})])
+    return spark.createDataFrame([(int(r["id"]),) for r in kept["rules"]], "p_partkey long")
+
+
+def _nation_sources(spark: SparkSession, sf: str) -> list:
+    """A source for each region, of its nations' allowlists; priorities are not in the regions' order."""
+    from ..rules import merge
+
+    lists: dict[int, list[dict]] = {}
+    for n in table(spark, sf, "nation").orderBy("n_nationkey").collect():
+        lists.setdefault(n.n_regionkey, []).append({"id": f"list{n.n_nationkey % 7}", "regexes": [n.n_name]})
+    regions = table(spark, sf, "region").collect()
+    return [merge.Source(r.r_name, r.r_regionkey * 3 % 5, {"title": r.r_name, f"only{r.r_regionkey}": r.r_regionkey, "allowlists": lists.get(r.r_regionkey, []), "rules": []}) for r in regions]
+
+
+@query("SELECT 'title' AS key, arg_max(r_name, r_regionkey * 3 % 5) AS value FROM region UNION ALL SELECT 'only' || r_regionkey, CAST(r_regionkey AS VARCHAR) FROM region")
+def merged_scalars(spark, sf):
+    """Of each top-level key the value of the highest priority."""
+    from ..rules import merge
+
+    out, _ = merge.merge(_nation_sources(spark, sf))
+    return spark.createDataFrame([(k, str(v)) for k, v in out.items() if k not in ("rules", "allowlists")], "key string, value string")
+
+
+@query("""WITH l AS (SELECT 'list' || n_nationkey % 7 AS id, n_name, r_regionkey * 3 % 5 AS priority, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT CAST(row_number() OVER (ORDER BY first) - 1 AS INTEGER) AS place, id, pattern FROM (SELECT id, min((priority, n_nationkey)) AS first, arg_max(n_name, (priority, n_nationkey)) AS pattern FROM l GROUP BY id)""")
+def merged_allowlists(spark, sf):
+    """Allowlists by rising priority; one of the same id takes the place of the earlier one."""
+    from ..rules import merge
+
+    out, _ = merge.merge(_nation_sources(spark, sf))
+    return spark.createDataFrame([(i, a["id"], a["regexes"][0]) for i, a in enumerate(out["allowlists"])], "place int, id string, pattern string")
 
 
 @query("""SELECT o_custkey AS file, o_orderpriority AS rule_id, min(o_orderkey) AS arrival FROM orders GROUP BY ALL""")
@@ -406,12 +633,17 @@ def findings_with_labels(spark, sf):
 
 @query(f"SELECT CAST(page_id AS BIGINT) AS page_id, CAST(len(regexp_extract_all(html, '{EMAIL}')) AS BIGINT) AS n FROM pages WHERE regexp_matches(html, '{EMAIL}')")
 def page_findings(spark, sf):
-    p = table(spark, sf, "pages")
-    return p.where(F.col("html").rlike(EMAIL)).select("page_id", F.regexp_count("html", F.lit(EMAIL)).cast("long").alias("n"))
+    p = table(spark, sf, "pages").select("page_id", "html", F.col("page_id").cast("string").alias("path"))
+    out = detect.scan(p, model.load(rule("email", EMAIL)), ScanConfig(max_file_size=1 << 40, capture_context=False), "path", "html")
+    return out.where(F.size("findings") > 0).select("page_id", F.size("findings").cast("long").alias("n"))
+
+
+NAME = r"[A-Z][a-z]{3,}"
 
 
-@query("SELECT conv_id, turn, text AS redacted, CAST(0 AS INTEGER) AS n FROM conversations")
+@query(f"SELECT conv_id, turn, regexp_replace(text, '{NAME}', '[REDACTED_SECRET]', 'g') AS redacted, CAST(least(len(regexp_extract_all(text, '{NAME}')), 1000) AS INTEGER) AS n FROM conversations")
 def conversation_redaction(spark, sf):
-    """Proxy redaction of chat turns; they hold nothing that the vendor rules find."""
-    out = Scanner.bundled(ScanConfig.proxy(max_file_size=1 << 40)).redact_untrusted(table(spark, sf, "conversations"), "text")
+    """Proxy redaction of chat turns: words that begin with a capital stand for secrets."""
+    proxy = Scanner.from_toml(rule("name", NAME), ScanConfig.proxy(max_file_size=1 << 40))
+    out = proxy.redact_untrusted(table(spark, sf, "conversations"), "text")
     return out.select("conv_id", "turn", F.col("redacted_content").alias("redacted"), F.size("findings").alias("n"))
