@@ -72,3 +72,27 @@ def test_no_filter_before_the_forest(spark, forest):
     out = {r.doc_id: r.text for r in S.redact(df, forest, PATH).collect()}
     assert out[1] == f"the {S.MARKER} here" and out[2] == f'secret = "{S.MARKER}"' and out[3] == f"password = {S.MARKER}\n"
     assert out[4] == f"url:a?db_password={S.MARKER}," and out[5] == rows[4][1]
+
+
+def test_findings_labelled_by_hand():
+    """None of them come from the generator that the forest learns from."""
+    from labelled_findings import FINDINGS
+
+    p = pytest.importorskip("public_tokenizers")
+    path = p.path("word_bpe_49k.json")
+    words, forest = S.dictionary(path), S.train(path)
+    score = forest.score(np.array([S.features(*r[:4], words) for r in FINDINGS]))
+    y = np.array([r[4] for r in FINDINGS])
+    wrong = [(r[0], round(float(s), 2)) for r, s in zip(FINDINGS, score) if (s >= S.THRESHOLD) != r[4]]
+    assert (score[y == 1] >= S.THRESHOLD).mean() >= 0.85, wrong
+    assert (score[y == 0] < S.THRESHOLD).mean() >= 0.85, wrong
+
+
+def test_trained_on_labelled_findings():
+    """Labels of one's own decide: here dates in ISO form are what is looked for."""
+    p = pytest.importorskip("public_tokenizers")
+    path, words = p.path("word_bpe_49k.json"), S.dictionary(p.path("word_bpe_49k.json"))
+    rows = [(f"20{i:02d}-0{i % 9 + 1}-1{i % 9}T0{i % 9}:00:00.000Z", "at ", "", "a.txt", 1) for i in range(60)] + [("plainword" + "abcdefgh"[i % 8] * (i % 20 + 8), "at ", "", "a.txt", 0) for i in range(60)]
+    forest = S.train(path, rows)
+    score = forest.score(np.array([S.features("2031-05-11T02:00:00.000Z", "at ", "", "a.txt", words), S.features("someotherplainwordhere", "at ", "", "a.txt", words)]))
+    assert score[0] > 0.8 and score[1] < 0.2
