@@ -106,3 +106,9 @@ def test_frames_and_broken_files(spark):
     assert got[1, 0].error is None and sum(got[1, 0].histogram) == 128 and got[1, 0].delay_ms == 100
     assert np.frombuffer(bytes(got[1, 0].rgba), np.uint8).reshape(-1, 4)[:, 0].tobytes() == b"ab" * 64
     assert all(got[i, 0].error for i in (2, 3, 4, 5))
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert G.read_back(G.store_texts(docs)).count() == 0
+    assert G.decode_frames(spark.createDataFrame([], "media_id long, data binary"), "media_id", "data").count() == 0

@@ -63,3 +63,8 @@ def test_one_class_or_none(spark, labels):
     fitted = [y for i, y in labels if crc_mod_py(i, 4) != 2]
     got = Q.judged(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
     assert {r.score for r in got} == {float(1 in fitted)}
+
+
+def test_empty_tables(spark):
+    docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, quality int")
+    assert Q.judged(docs, labels).count() == 0 and Q.judged(docs, labels.limit(0)).count() == 0
