@@ -48,6 +48,8 @@ SHINGLE = 4
 SEED = 42
 WIDE_SHINGLE = 5
 WIDE_TAU = 20
+#: Rows (of 16 bytes) of a list of rows to drop up to which it is broadcast; beyond, documents are shuffled to it.
+LISTED = 1_000_000
 #: Open bits of a key at which it is no longer divided.
 LAST = 16
 _SHINGLES_AT_ONCE = 1 << 16
@@ -438,6 +440,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     def that(listed: DataFrame, how: str) -> DataFrame:
         listed = checkpointed(listed.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")))
+        if listed.count() <= LISTED:
+            listed = F.broadcast(listed)
         return docs.join(listed, (ids == F.col("_doc")) & (text == F.col("_hash")), how)
 
     kept = that(judged.where("not stays or n > 1"), "left_anti")
