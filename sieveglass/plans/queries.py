@@ -171,8 +171,14 @@ def redacted_content(spark, sf):
     rows = docs(spark, sf).where(F.col("text").rlike(EMAIL))
     hits, gaps = F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0)), F.split("text", EMAIL, -1)
     rows = rows.select("path", "text", hits.alias("h"), gaps.alias("g"))
-    start = lambda i: F.aggregate(F.slice("g", F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("h", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-    spans = F.transform("h", lambda x, i: F.struct(start(i).alias("a"), (start(i) + F.length(x)).alias("b")))
+    lengths = F.transform("h", lambda x, i: F.struct(F.length(F.get("g", i)).alias("gap"), F.length(x).alias("hit")))
+    none = F.struct(F.array().cast("array<struct<a int, b int>>").alias("spans"), F.lit(0).alias("at"))
+
+    def add(done: Column, x: Column) -> Column:
+        a, b = done["at"] + x["gap"], done["at"] + x["gap"] + x["hit"]
+        return F.struct(F.concat(done["spans"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("spans"), b.alias("at"))
+
+    spans = F.aggregate(lengths, none, add, lambda done: done["spans"])
     return rows.select("path", X.redact_islands(F.col("text"), spans).alias("redacted"))
 
 
