@@ -324,25 +324,31 @@ _LINKS = "a long, b long, met long, viable long, linked long"
 _LINKS_NAMES = [c.split()[0] for c in _LINKS.split(", ")]
 
 
-def _key_columns(ring: Ring) -> list[Column]:
-    """The ring's keys as numbers: a key's number above bit 48, its segments below."""
-    out = []
-    for i, key in enumerate(ring.keys):
-        col, shift = F.lit(i << 48), 0
-        for s in key:
-            at, width = ring.layout[s]
-            col = col + F.shiftleft(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)), shift)
-            shift += width
-        out.append(col)
-    return out
-
-
-def _divided(ring: Ring) -> Callable:
-    """Each row of an overfull key under two of tau + 2 parts of the bits that the key leaves open; keys with few open bits left are odd."""
+def _keyed(ring: Ring) -> Callable:
+    """(key, fp, more) of each (fp, more) row for each of the ring's keys: a key's number above bit 48, its segments below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u = np.asarray(b.column(0)).view(np.uint64)
+            parts = [((u & m) >> np.uint64(a)).astype(np.int64) for m, (a, _) in zip(ring.masks, ring.layout, strict=True)]
+            for i, key in enumerate(ring.keys):
+                col, shift = np.full(len(u), i << 48, np.int64), 0
+                for s in key:
+                    col |= parts[s] << shift
+                    shift += ring.layout[s][1]
+                yield pa.RecordBatch.from_arrays([pa.array(col), b.column(0), b.column(1)], ["key", "fp", "more"])
+
+    return run
+
+
+def _divided(ring: Ring, numbered: bool) -> Callable:
+    """Each (fp, more, used) row of an overfull key under two of tau + 2 parts of the bits that the key leaves open; keys with few open bits left are odd. used: the bits of the key, or the number of one of the ring's own."""
+    whole = np.array([int(ring.masks[list(key)].sum()) for key in ring.keys], np.uint64).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f, m, used = (np.asarray(b.column(i)) for i in range(3))
+            used = whole[used] if numbered else used
             u = f.view(np.uint64)
             for mask in np.unique(used):
                 at = np.flatnonzero(used == mask)
@@ -359,8 +365,7 @@ def _divided(ring: Ring) -> Callable:
 
 def _met(distinct: DataFrame, ring: Ring) -> Iterator[DataFrame]:
     """What tasks find under the ring's keys, and then under those that overfull ones are divided to."""
-    where = F.array(*(F.lit(int(ring.masks[list(key)].sum().view(np.int64))) for key in ring.keys))
-    keyed = distinct.select("fp", "more", F.explode(F.array(*_key_columns(ring))).alias("key")).select("key", "fp", "more")
+    keyed = distinct.select("fp", "more").mapInArrow(_keyed(ring), "key long, fp long, more long")
     numbered = True
     while True:
         rows = keyed.select("key", "fp", "more").repartition("key").sortWithinPartitions("key")
@@ -369,9 +374,9 @@ def _met(distinct: DataFrame, ring: Ring) -> Iterator[DataFrame]:
         full = found.where("a is not null and b is null").select(F.col("a").alias("key")).distinct()
         if full.isEmpty():
             return
-        used = F.get(where, F.shiftright("key", 48).cast("int")) if numbered else F.col("used")
+        used = F.shiftright("key", 48) if numbered else F.col("used")
         over = keyed.join(full, "key", "left_semi").select("fp", "more", used.alias("used"))
-        keyed = checkpointed(over.mapInArrow(_divided(ring), "key long, fp long, more long, used long"))
+        keyed = checkpointed(over.mapInArrow(_divided(ring, numbered), "key long, fp long, more long, used long"))
         numbered = False
 
 
