@@ -120,8 +120,9 @@ def native_findings(docs: DataFrame, rule_id: str, pattern: str, least_entropy:
     zero = F.lit(0).cast("long")
     pieces = F.transform("_hits", lambda h, i: F.struct(F.get("_gaps", i).alias("gap"), h.alias("hit")))
     starts = F.aggregate(pieces, F.array(F.struct(zero.alias("bytes"), zero.alias("lines"), zero.alias("tail"))), lambda done, p: F.concat(done, F.array(after(F.element_at(done, -1), F.concat(p["gap"], p["hit"])))))
-    rows = rows.select("file", "_hits", "_gaps", starts.alias("_starts")).select("file", F.posexplode("_hits").alias("_i", "secret"), "_gaps", "_starts")
-    rows = rows.select("file", "secret", after(F.get("_starts", "_i"), F.get("_gaps", "_i")).alias("_at"))
+    # the starts are computed once and bound; a row of the result carries its own finding only
+    found = F.get(F.transform(F.array(starts), lambda known: F.transform("_hits", lambda h, i: F.struct(h.alias("secret"), after(F.get(known, i), F.get("_gaps", i)).alias("at")))), F.lit(0))
+    rows = rows.select("file", F.explode(found).alias("_f")).select("file", F.col("_f.secret").alias("secret"), F.col("_f.at").alias("_at"))
     out = rows.select(
         "file", F.lit(rule_id).alias("rule_id"), (F.col("_at.lines") + 1).alias("line"), (F.col("_at.tail") + 1).alias("col"), F.col("_at.bytes").alias("start_offset"),
         (F.col("_at.bytes") + F.octet_length("secret")).alias("end_offset"), "secret", X.entropy(F.col("secret")).alias("entropy"), X.finding_fingerprint(F.lit(rule_id), F.col("file"), F.col("secret"), namespace).alias("fingerprint"),
