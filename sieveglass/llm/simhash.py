@@ -233,7 +233,7 @@ def _cluster(ring: Ring, f: np.ndarray, m: np.ndarray, counts: np.ndarray, last:
     rest = np.flatnonzero(label != found[size.argmax()])
     if not last and len(rest) * n > ring.run**2:
         return us[0], vs[0], False
-    step = max(1, (1 << 20) // n)
+    step = max(1, (1 << 18) // n)
     for at in range(0, len(rest), step):
         own = rest[at : at + step]
         i, j = np.nonzero(ring.near(f[own][:, None] ^ f, m[own][:, None] ^ m, counts))

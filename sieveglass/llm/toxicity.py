@@ -51,7 +51,7 @@ THRESHOLD = 0.7
 SPECIFICITY = 0.95
 #: ASCII that separates words here: all but letters and digits.
 _SPACES = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
-_AT_ONCE = 1 << 19
+_AT_ONCE = 1 << 17
 _START = b""
 
 
