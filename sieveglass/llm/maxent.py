@@ -1,10 +1,15 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class). The first factor is a
-log-linear model: its features are the last word, the word before, the pair of
-both and the third word back (skips), each hashed to one of ROWS weight rows of
-CLASSES columns. The second is the word's share of its class, from exact counts
-over all training documents. Classes group words by their neighbours.
+P(word | context) = P(class | context) * P(unit | class, context) * P(word | unit).
+The first two factors are log-linear models of the same features: the last word,
+the word before, the pair of both and the third word back (skips). For the first
+each is hashed to one of ROWS weight rows of CLASSES columns. For the second the
+units of a class are the leaves of a Huffman tree; each of its decisions is a
+log-linear model of two outcomes, and each feature at each node is hashed to one
+of NODE_ROWS weights. A frequent word is a unit of its own; the others share one
+by their endings, of which the third factor is their share, from exact counts
+over all training documents, with a slot for a word never seen. Classes group
+words by their neighbours.
 
 Training: one pass counts words; one more reads the texts for the last time and
 writes all documents as arrays of units, with the words outside the head beside
@@ -12,7 +17,7 @@ them. The next ones read the units of the training documents. One gathers the wo
 them to classes; one gathers the observed feature counts, which give the first
 weights in closed form; then each of STEPS updates sums the gradient of all training documents,
 observed less expected counts. The observed ones stay the same, so they are
-counted once. A task's sums are dense blocks of a fixed size, added up in a tree
+counted once. The decisions are trained alike. A task's sums are dense blocks of a fixed size, added up in a tree
 of tasks; a task's rows are those of one partition of the input, or of four.
 
 Memory: the HEAD most frequent words at most are broadcast; the counts of all
@@ -25,6 +30,7 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -55,8 +61,11 @@ ALPHA = 0.1
 _FEATURES = 4
 _AT_ONCE = 1 << 16
 _FLUSH = 250_000
-#: Blocks of weight rows, and tasks whose blocks one task adds up.
-_BLOCK, _FAN = 4096, 16
+#: Numbers in a block of sums, and tasks whose blocks one task adds up.
+_BLOCK, _FAN = 1 << 17, 16
+#: Weights of the decisions within classes, and tokens whose decisions are in memory at once.
+NODE_ROWS = 1 << 21
+_NODES_AT_ONCE = 1 << 14
 
 
 def unit_of(word: bytes, index: int) -> int:
@@ -198,17 +207,82 @@ def _fewer(rows: DataFrame, by: int) -> DataFrame:
     return rows.coalesce(max(1, -(-rows.rdd.getNumPartitions() // by)))
 
 
+def contexts(padded: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the features of each token's context."""
+
+    def hashed(x: np.ndarray, salt: int) -> np.ndarray:
+        h = (x.astype(np.uint64) * np.uint64(4) + np.uint64(salt) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+
+    one, two, three = padded[place - 1], padded[place - 2], padded[place - 3]
+    return [hashed(one, 0), hashed(two, 1), hashed(one << 20 | two, 2), hashed(three, 3)]
+
+
 def features(padded: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
     """Weight rows of each token's context."""
     shift = np.uint64(64 - int(ROWS).bit_length() + 1)
+    return [(h >> shift).astype(np.int64) for h in contexts(padded, place)]
 
-    def row(x: np.ndarray, salt: int) -> np.ndarray:
-        h = (x.astype(np.uint64) * np.uint64(4) + np.uint64(salt) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        return (h >> shift).astype(np.int64)
 
-    one, two, three = padded[place - 1], padded[place - 2], padded[place - 3]
-    return [row(one, 0), row(two, 1), row(one << 20 | two, 2), row(three, 3)]
+@dataclass
+class Tree:
+    """How the units of a class are told apart: unit u's decisions are node[at[u]:at[u + 1]], side 1 or 0 at each."""
+
+    at: np.ndarray
+    node: np.ndarray
+    side: np.ndarray
+    odds: np.ndarray  # of side 1 by mass, natural log, a node each
+    mass: np.ndarray  # counts of the unit's words and the smoothing
+    weights: np.ndarray
+
+    def decisions(self, padded: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(number of the token in place, side, weight rows by feature, log odds of side 1) of all decisions, some tokens at a time."""
+        shift = np.uint64(64 - int(NODE_ROWS).bit_length() + 1)
+        for a in range(0, len(place), _NODES_AT_ONCE):
+            some = place[a : a + _NODES_AT_ONCE]
+            unit = padded[some]
+            first, n = self.at[unit], self.at[unit + 1] - self.at[unit]
+            owner = np.repeat(np.arange(len(some)), n)
+            step = np.arange(len(owner)) + np.repeat(first - np.cumsum(n) + n, n)
+            node = self.node[step]
+            salt = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            rows = [(((h[owner] ^ salt) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64) for h in contexts(padded, some)]
+            z = self.odds[node]
+            for r in rows:
+                z += self.weights[r]
+            yield a + owner, self.side[step], rows, z
+
+    def log(self, padded: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Natural log probability of each token's unit, given its class and context."""
+        out = np.zeros(len(place))
+        for owner, side, _, z in self.decisions(padded, place):
+            out += np.bincount(owner, -np.logaddexp(0, np.where(side, -z, z)), len(place))
+        return out
+
+
+def tree(klass: np.ndarray, mass: np.ndarray) -> Tree:
+    """Huffman trees of the units that have a mass, one for each class; no weights yet."""
+    n, odds = len(mass), []
+    up, side = np.full(2 * n, -1, np.int64), np.zeros(2 * n, bool)
+    for k in range(CLASSES):
+        own = np.flatnonzero((klass[:n] == k) & (mass > 0))
+        heap = list(zip(mass[own].tolist(), own.tolist(), strict=True))
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (a, left), (b, right) = heapq.heappop(heap), heapq.heappop(heap)
+            up[[left, right]], side[right] = n + len(odds), True
+            heapq.heappush(heap, (a + b, n + len(odds)))
+            odds.append(np.log(b / a))
+    unit = at = np.arange(n)
+    found = [(unit[:0], unit[:0], side[:0])]
+    while len(at):
+        unit, at = unit[up[at] >= 0], at[up[at] >= 0]
+        found.append((unit, up[at] - n, side[at]))
+        at = up[at]
+    units, nodes, sides = map(np.concatenate, zip(*found, strict=True))
+    order = np.argsort(units, kind="stable")
+    start = np.r_[0, np.cumsum(np.bincount(units, minlength=n + 1))]
+    return Tree(start, nodes[order].astype(np.int32), sides[order], np.array(odds, np.float32), mass, np.zeros(NODE_ROWS, np.float32))
 
 
 @dataclass
@@ -218,6 +292,7 @@ class Model:
     bias: np.ndarray
     mass: np.ndarray
     weights: np.ndarray
+    tree: Tree | None = None
 
     def __post_init__(self):
         # e to the sum of four weights is a product of table entries
@@ -243,7 +318,18 @@ class Model:
         return np.log(z[np.arange(len(klass)), klass]) - np.log(z @ np.ones(CLASSES, np.float32))
 
 
-def _add_up(blocks: DataFrame, tasks: int) -> np.ndarray:
+def _blocks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's sums in blocks, those that hold anything."""
+    part = TaskContext.get().partitionId()
+    for i, x in enumerate(total.astype(np.float32).reshape(-1, _BLOCK)):
+        if x.any():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([i], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["part", "block", "data"])
+
+
+_SUMS = "part long, block long, data binary"
+
+
+def _add_up(blocks: DataFrame, tasks: int, size: int) -> np.ndarray:
     """Sum of the (part, block, data) arrays, by trees of _FAN."""
 
     def add(t: pa.Table) -> pa.Table:
@@ -251,13 +337,12 @@ def _add_up(blocks: DataFrame, tasks: int) -> np.ndarray:
         return pa.table({"part": t["part"][:1], "block": t["block"][:1], "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     while tasks > 1:
-        blocks = blocks.withColumn("part", F.floor(F.col("part") / _FAN).cast("long")).groupBy("part", "block").applyInArrow(add, "part long, block long, data binary")
+        blocks = blocks.withColumn("part", F.floor(F.col("part") / _FAN).cast("long")).groupBy("part", "block").applyInArrow(add, _SUMS)
         tasks = -(-tasks // _FAN)
-    got = blocks.select("block", "data").toArrow().to_pylist()
-    out = np.zeros((ROWS // _BLOCK, _BLOCK, CLASSES), np.float32)
-    for r in got:
-        out[r["block"]] += np.frombuffer(r["data"], np.float32).reshape(_BLOCK, CLASSES)
-    return out.reshape(ROWS, CLASSES)
+    out = np.zeros((size // _BLOCK, _BLOCK), np.float32)
+    for r in blocks.select("block", "data").toArrow().to_pylist():
+        out[r["block"]] += np.frombuffer(r["data"], np.float32)
+    return out.reshape(-1)
 
 
 def _gather(units: DataFrame, model: Model, expected: bool) -> np.ndarray:
@@ -279,14 +364,47 @@ def _gather(units: DataFrame, model: Model, expected: bool) -> np.ndarray:
                 own = m.klass[padded[place]] * ROWS
                 for f in feats:
                     np.add.at(total.reshape(-1), own + f, 1.0)
-        part = TaskContext.get().partitionId()
-        data = np.ascontiguousarray(total.T.astype(np.float32)).reshape(ROWS // _BLOCK, -1)
-        for i, x in enumerate(data):
-            if x.any():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([i], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["part", "block", "data"])
+        yield from _blocks(np.ascontiguousarray(total.T))
 
     rows = units if expected else _fewer(units, 4)
-    return _add_up(rows.mapInArrow(run, "part long, block long, data binary"), rows.rdd.getNumPartitions())
+    return _add_up(rows.mapInArrow(run, _SUMS), rows.rdd.getNumPartitions(), ROWS * CLASSES).reshape(ROWS, CLASSES)
+
+
+def _gather_decisions(units: DataFrame, tree: Tree, observed: bool) -> np.ndarray:
+    """By weight, over the decisions of all texts: how often side 1 is expected; with observed, after that how many there are and how often side 1 is taken."""
+    shared = units.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value
+        total = np.zeros((3 if observed else 1, NODE_ROWS))
+        for padded, place in _arrays(batches):
+            for _, side, rows, z in t.decisions(padded, place):
+                p = (1 / (1 + np.exp(-z))).astype(np.float64)
+                for r in rows:
+                    np.add.at(total[0], r, p)
+                    if observed:
+                        np.add.at(total[1], r, 1.0)
+                        np.add.at(total[2], r[side], 1.0)
+        yield from _blocks(total)
+
+    rows = _fewer(units, 4)
+    got = _add_up(rows.mapInArrow(run, _SUMS), rows.rdd.getNumPartitions(), (3 if observed else 1) * NODE_ROWS)
+    shared.destroy()
+    return got.reshape(-1, NODE_ROWS)
+
+
+def _train_decisions(units: DataFrame, tree: Tree) -> None:
+    """First weights in closed form, then STEPS updates, as for the classes."""
+    base, n, ones = _gather_decisions(units, tree, True)
+    q = (base + 0.5) / (n + 1)
+    ratio = lambda o, e, s: np.log((o + s) / (e + s))
+    weights = FIRST * (ratio(ones, base, SMOOTH * q) - ratio(n - ones, np.maximum(n - base, 0), SMOOTH * (1 - q)))
+    for _ in range(STEPS):
+        tree.weights = np.clip(weights, -LARGEST, LARGEST).astype(np.float32)
+        expected = np.minimum(_gather_decisions(units, tree, False)[0], n)
+        room = np.minimum(np.maximum(ones, expected), np.maximum(n - ones, n - expected))
+        weights = tree.weights + RATE * (ones - expected - 0.05 * tree.weights) / (room + SMOOTH)
+    tree.weights = np.clip(weights, -LARGEST, LARGEST).astype(np.float32)
 
 
 def neighbours(units: DataFrame) -> DataFrame:
@@ -336,13 +454,18 @@ def train(texts: DataFrame, head: int = HEAD) -> tuple[Model, DataFrame, DataFra
     units = training(chunks)
     klass = classes(units)
     mass = np.bincount(klass[vocab.unit[:-1]], vocab.count + ALPHA, CLASSES) + ALPHA
+    of_unit = np.bincount(vocab.unit[:-1], vocab.count + ALPHA, UNITS + SUFFIXES).astype(float)
+    of_unit[UNITS:] += ALPHA  # a word never seen
     # the same ending as in unit_of
     ending = F.crc32(F.substring("word", -3, 3)).bitwiseAND(F.lit(SUFFIXES - 1))
     for r in tail.groupBy(ending.alias("s")).agg(F.sum(F.col("c") + ALPHA).alias("m")).collect():
         mass[klass[UNITS + r.s]] += r.m
+        of_unit[UNITS + r.s] += r.m
     bias = np.log(mass / mass.sum()).astype(np.float32)
     weights = np.zeros((ROWS, CLASSES), np.float32)
+    decisions = tree(klass, of_unit)
     if vocab.tokens:
+        _train_decisions(units, decisions)
         observed = _gather(units, Model(vocab, klass, bias, mass, weights), False)
         share = np.exp(bias)
         weights = FIRST * np.log((observed + SMOOTH * share) / ((observed.sum(axis=1, keepdims=True) + SMOOTH) * share))
@@ -350,7 +473,7 @@ def train(texts: DataFrame, head: int = HEAD) -> tuple[Model, DataFrame, DataFra
             model = Model(vocab, klass, bias, mass, np.clip(weights, -LARGEST, LARGEST).astype(np.float32))
             expected = _gather(units, model, True)
             weights = model.weights + RATE * (observed - expected - 0.05 * model.weights) / (np.maximum(observed, expected) + SMOOTH)
-    return Model(vocab, klass, bias, mass, np.clip(weights, -LARGEST, LARGEST).astype(np.float32)), tail, chunks
+    return Model(vocab, klass, bias, mass, np.clip(weights, -LARGEST, LARGEST).astype(np.float32), decisions), tail, chunks
 
 
 _PART = "key long, doc_id long, n long, known long, s double, gain double"
@@ -358,21 +481,21 @@ _PART = "key long, doc_id long, n long, known long, s double, gain double"
 
 def scores(chunks: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of encoded texts, one row each."""
-    shared = chunks.sparkSession.sparkContext.broadcast((model.klass, model.bias, model.weights, model.mass))
+    shared = chunks.sparkSession.sparkContext.broadcast((model.klass, model.bias, model.weights, model.tree))
     names = [c.split()[0] for c in _PART.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        klass, bias, weights, mass = shared.value
-        m = Model(None, klass, bias, mass, weights)
-        log_mass = np.log10(mass)
+        klass, bias, weights, tree = shared.value
+        m = Model(None, klass, bias, None, weights)
+        log_mass = np.log10(np.maximum(tree.mass, ALPHA))
         for b in batches:
             for key, units, *rest in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 padded = np.frombuffer(units, np.uint16).astype(np.int64)
                 size, doc, named, known, base = (np.frombuffer(x, t) for x, t in zip(rest, (np.int32, np.int64, bool, np.int32, np.float64), strict=True))
                 gain = []
                 for place in _places(padded, size, np.ones(len(size), bool)):
-                    k = klass[padded[place]]
-                    gain.append(m.class_log(features(padded, place), k).astype(np.float64) / np.log(10) - log_mass[k])
+                    own = padded[place]
+                    gain.append((m.class_log(features(padded, place), klass[own]).astype(np.float64) + tree.log(padded, place)) / np.log(10) - log_mass[own])
                 start = np.r_[0, np.cumsum(size)[:-1]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key + np.arange(len(size))), pa.array(doc, mask=~named), pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(np.add.reduceat(np.concatenate(gain), start))], names

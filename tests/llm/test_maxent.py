@@ -107,3 +107,42 @@ def test_held_out_texts_are_not_learnt_from(spark):
     chunks = M.encoded(spark.createDataFrame(rows, "doc_id long, text string, learns boolean").repartition(1), vocab)
     learnt = [padded[place].tolist() for padded, place in M._arrays(M.training(chunks).toArrow().to_batches())]
     assert sorted(sum(learnt, [])) == [0, 0, 1, 1, 2]
+
+
+def test_context_tells_words_of_a_class_apart(spark, monkeypatch):
+    monkeypatch.setattr(M, "classes", lambda units: np.zeros(M.UNITS + M.SUFFIXES + 1, np.int64))
+    rows = [(i, "red ball" if i % 2 else "blue kite") for i in range(60)]
+    asked = {100: "red ball", 101: "red kite", 102: "blue kite", 103: "blue ball"}
+    df = spark.createDataFrame(rows + [*asked.items()], "doc_id long, text string")
+    got = {asked[r.doc_id]: r.score for r in M.fit_and_score(df, M.F.col("doc_id") < 100).collect() if r.doc_id in asked}
+    assert got["red ball"] > got["red kite"] + 0.5 and got["blue kite"] > got["blue ball"] + 0.5
+
+
+def test_units_of_a_class_are_a_distribution(spark):
+    model, tail, _ = M.train(spark.createDataFrame(corpus(60), "doc_id long, text string"), head=30)
+    assert np.abs(model.tree.weights).max() > 0.1
+    for k in range(M.CLASSES):
+        own = np.flatnonzero((model.klass[: len(model.tree.mass)] == k) & (model.tree.mass > 0))
+        if len(own):
+            padded = np.concatenate([np.r_[5, 7, 9, u] for u in own])  # the same context before each unit
+            assert np.exp(model.tree.log(padded, np.arange(len(own)) * 4 + 3)).sum() == pytest.approx(1, abs=1e-3)
+    # words and slots make up the units; without weights a unit's share is that of its mass
+    words = model.vocab.tokens + M.ALPHA * (model.vocab.distinct + M.SUFFIXES)
+    assert model.tree.mass.sum() == pytest.approx(words) and tail.count() > 0
+    bare = M.tree(model.klass, model.tree.mass)
+    own = np.flatnonzero((model.klass[: len(bare.mass)] == model.klass[0]) & (bare.mass > 0))
+    share = bare.log(np.concatenate([np.r_[5, 7, 9, u] for u in own]), np.arange(len(own)) * 4 + 3)
+    assert np.allclose(np.exp(share), bare.mass[own] / bare.mass[own].sum(), rtol=1e-3)
+
+
+def test_decisions_are_counted_over_all_training_documents(spark):
+    model, _, chunks = M.train(spark.createDataFrame(corpus(40), "doc_id long, text string").repartition(3), head=30)
+    units = M.training(chunks)
+    n = ones = 0
+    for padded, place in M._arrays(units.toArrow().to_batches()):
+        for u in padded[place]:
+            side = model.tree.side[model.tree.at[u] : model.tree.at[u + 1]]
+            n, ones = n + 4 * len(side), ones + 4 * int(side.sum())
+    base, every, taken = M._gather_decisions(units, M.tree(model.klass, model.tree.mass), True)
+    assert every.sum() == n and taken.sum() == ones
+    assert base.sum() == pytest.approx(ones, rel=0.01)  # masses are counts and the smoothing
