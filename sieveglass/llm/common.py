@@ -44,6 +44,16 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def maybe_in(rows: DataFrame, key: str, others: DataFrame, bits: int = 16) -> DataFrame:
+    """The rows whose key may be one of `others`, whose keys differ: all that are, and about one in `bits` of the rest. For a join that would else shuffle all rows; only a bitmap of that many bits a key is broadcast."""
+    size = bits * max(1, others.count())
+    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(size))  # equal numbers of different types have one text
+    own = others.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
+    found = rows.withColumn("_at", place).withColumn("_bucket", F.bitmap_bucket_number("_at")).join(F.broadcast(own), "_bucket")
+    bit = F.expr("getbit(cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(_at) % 8 as int))")
+    return found.where(bit == 1).select(*rows.columns)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of the text with A-Z lowered, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

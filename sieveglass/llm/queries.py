@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, gif, licenses, maxent, packing, quality, rollups, secret_forest, simhash, toxicity
-from .common import checkpointed, remove, table
+from .common import checkpointed, maybe_in, remove, table
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,8 @@ def _batches(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     first = docs.select(F.lit("insert").alias("op"), F.lit(1).alias("seq"), "*")
-    changed = docs.join(labels, "doc_id").where("toxic = 1 or quality = 0")
+    labels = labels.where("toxic = 1 or quality = 0")
+    changed = maybe_in(docs, "doc_id", labels).join(labels, "doc_id")
     op = F.when(F.col("toxic") == 1, "delete").otherwise("revise")
     second = changed.select(op.alias("op"), F.lit(2).alias("seq"), "doc_id", "source", "lang", F.replace("text", F.lit("|"), F.lit(" ")).alias("text"))
     return [("1", first), ("2", second), ("1", first), ("2", second)]

@@ -142,3 +142,27 @@ def test_whole_query_against_plain_counts(spark, tmp_path):
             n, k = want.get((source, lang, name, version), (0, 0))
             want[source, lang, name, version] = (n + 1, k + count([text])[0])
     assert got == want
+
+
+def test_texts_that_no_label_changes_are_not_shuffled(spark, tmp_path):
+    from sieveglass.llm import common
+
+    queries = pytest.importorskip("sieveglass.llm.queries")
+    ids = [*range(-1500, 1500), 1 << 62, None]
+    docs = spark.createDataFrame([(i, "t", "en", "s") for i in ids], "doc_id long, text string, lang string, source string")
+    some = spark.createDataFrame([(i,) for i in ids[::10] if i is not None], "doc_id long")
+    left = [r.doc_id for r in common.maybe_in(docs, "doc_id", some).collect()]
+    assert {r.doc_id for r in some.collect()} <= set(left) and len(left) == len(set(left)) < 0.25 * len(ids)
+    assert common.maybe_in(docs, "doc_id", some.limit(0)).count() == 0
+    few = spark.createDataFrame([(i,) for i in range(9)], "doc_id int")  # of another type
+    assert set(range(9)) <= {r.doc_id for r in common.maybe_in(docs, "doc_id", few).collect()}
+    docs.where("doc_id is not null").write.parquet(str(tmp_path / "documents.parquet"))
+    some.selectExpr("doc_id", "0 as quality", "0 as toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = dict(queries._batches(spark, str(tmp_path)))["2"]
+        assert plan.count() == some.count()
+        tree = plan._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "bitmap_construct_agg" in tree
