@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,23 @@ def maybe_in(rows: DataFrame, key: str, others: DataFrame, bits: int = 16) -> Da
     return found.where(bit == 1).select(*rows.columns)
 
 
+#: What a worker keeps between tasks, by name.
+kept: dict[str, dict] = {}
+
+
+def begin(*needs: str) -> None:
+    """For the start of a task: workers outlive a stage, so what is kept for other operators goes, and memory that is free returns to the system."""
+    for name, held in kept.items():
+        if name not in needs:
+            held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def words(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of the text with A-Z lowered, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import begin, checkpointed
 
 N = 3
 RARE = 1e-4
@@ -124,6 +124,7 @@ def word_counts(docs: DataFrame, numbers: dict[bytes, int], text_col: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(numbers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         own = shared.value
         counts, words, rows = np.zeros(len(own) + 1, np.int64), 0, 0
         for b in batches:
@@ -235,6 +236,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = spark.sparkContext.broadcast(prepare(part, rows))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            begin()
             block = shared.value
             names = [c.split()[0] for c in SCHEMA.split(", ")]
             types = [pa.int64(), pa.int64(), pa.float64(), *[pa.int32()] * 5]
@@ -259,6 +261,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         shared = spark.sparkContext.broadcast(prepare(part, docs, text_col))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            begin()
             block = shared.value
             for b in batches:
                 yield b.filter(pa.array([not matches(tokens(t.as_py()), block, threshold) for t in b.column(at)], pa.bool_()))

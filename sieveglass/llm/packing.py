@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import begin, checkpointed, kept
 
 SEQUENCE = 2048
 WINDOW_SEQUENCES = 16
@@ -113,7 +113,7 @@ class WordTokenizer:
         return out
 
 
-_loaded: dict[str, WordTokenizer] = {}
+_loaded: dict[str, WordTokenizer] = kept.setdefault("tokenizer", {})
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -126,6 +126,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(part, source, doc_id, local, n, ids): ids as little-endian numbers; local: ids of the queue before, in this partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("tokenizer")
         tok, before, part = tokenizer(path), {}, TaskContext.get().partitionId()
         for b in batches:
             for at in range(0, b.num_rows, 1024):

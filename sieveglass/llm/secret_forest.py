@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import begin
+
 TREES, DEPTH, LEAF = 60, 12, 3
 THRESHOLD = 0.5
 MARKER = "[REDACTED_SECRET]"
@@ -308,6 +310,7 @@ def scan(docs: DataFrame, forest: Forest, dictionary_path: str, id_col: str = "d
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.list_(pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("tokenizer")
         words = dictionary(dictionary_path)
         for b in batches:
             for at in range(0, b.num_rows, 1024):
@@ -328,6 +331,7 @@ def redact(docs: DataFrame, forest: Forest, dictionary_path: str, text_col: str
     rows = docs.withColumn("_path_of_row", F.lit("") if path is None else path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("tokenizer")
         words = dictionary(dictionary_path)
         for b in batches:
             for at in range(0, b.num_rows, 1024):

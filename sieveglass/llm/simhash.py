@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, words
+from .common import begin, checkpointed, words
 
 TAU = 4
 SHINGLE = 4
@@ -81,6 +81,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, text_hash, fp, more): the fingerprint as signed 64-bit numbers; more is 0 unless wide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for b in batches:
             got = np.array([fingerprint(t.as_py(), n, wide) for t in b.column(2)], np.uint64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(got[:, i]).view(np.int64)) for i in (0, 1))], ["doc_id", "text_hash", "fp", "more"])
@@ -278,6 +279,7 @@ def _link(ring: Ring, numbered: bool) -> Callable:
     """Edges (a, b) between nodes, (key, null) for a key that must be divided, and (null, null) with counts of pairs met, viable and linked; numbered: keys are the ring's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         counts = np.zeros(3, np.int64)
 
         def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:

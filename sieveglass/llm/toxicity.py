@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hashes
+from .common import begin, crc_mod, hashes
 from .linear import logistic, sigmoid
 
 SAMPLE = 10_000
@@ -89,6 +89,7 @@ def _batch(schema: str, columns: list[np.ndarray], y: int) -> pa.RecordBatch:
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each gram once a document: (0, word, its 8-group, its 6-group), (8, group, its 6-group), (6, group)."""
+    begin()
     for b in batches:
         for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
             own = list(dict.fromkeys(tokens(text.as_py())))
@@ -105,6 +106,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(left, right) keys of the word pairs, each once a document; the first word follows the start."""
+    begin()
     for b in batches:
         for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
             toks = tokens(text.as_py())
@@ -349,6 +351,7 @@ def operating_point(p: np.ndarray, y: np.ndarray, weight: np.ndarray, specificit
 
 def _scorer(shared, cal: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         model = shared.value
         for b in batches:
             f = model.of_texts(b.column(1))
@@ -419,6 +422,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         m = shared.value
         for b in batches:
             yield b.filter(pa.array(m.probability(m.of_texts(b.column(at))) < threshold))

@@ -81,3 +81,13 @@ def test_tokenizer_is_exact():
 
 def test_empty_table(spark):
     assert P.packed(spark.createDataFrame([], "doc_id long, text string, source string"), PATH).collect() == []
+
+
+def test_a_worker_keeps_no_word_pieces_for_other_operators():
+    from sieveglass.llm import common, toxicity
+
+    P.tokenizer(PATH).encode(["some words"])
+    common.begin("tokenizer")
+    assert common.kept["tokenizer"]  # packing's own tasks find it
+    list(toxicity._words(iter(())))
+    assert not common.kept["tokenizer"]
