@@ -53,6 +53,8 @@ LISTED = 1_000_000
 #: Open bits of a key at which it is no longer divided.
 LAST = 16
 _SHINGLES_AT_ONCE = 1 << 16
+#: Edges that a task of links holds before it makes a forest of them.
+_EDGES = 1 << 18
 
 
 def fingerprint(text: str | None, n: int = SHINGLE, wide: bool = False) -> tuple[int, int]:
@@ -216,6 +218,14 @@ def _labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return label
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the smallest one that it reaches over the edges (a, b): fewer than there are nodes."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = _labels(len(nodes), at[: len(a)], at[len(a) :])
+    rest = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[rest], nodes[label[rest]]
+
+
 def _cluster(ring: Ring, f: np.ndarray, m: np.ndarray, counts: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray, bool]:
     """Edges (indices) that connect what is near among the fingerprints of one key, and whether that is all."""
     n = len(f)
@@ -276,11 +286,12 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int, numbered: bool) -> Itera
 
 
 def _link(ring: Ring, numbered: bool) -> Callable:
-    """Edges (a, b) between nodes, (key, null) for a key that must be divided, and (null, null) with counts of pairs met, viable and linked; numbered: keys are the ring's own."""
+    """Edges (a, b) between nodes, (key, null) for a key that must be divided, and (null, null) with counts of pairs met, viable and linked; numbered: keys are the ring's own. The edges are a forest of what the task links, or of _EDGES at a time: not every pair of a group, under every key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin()
         counts = np.zeros(3, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
             none = pa.nulls(len(a), pa.int64())
@@ -314,8 +325,15 @@ def _link(ring: Ring, numbered: bool) -> Callable:
             if full:
                 yield out(np.array(full, np.int64), None)
             if us and sum(map(len, us)):
-                u, v = np.concatenate(us), np.concatenate(vs)
-                yield out(np.maximum(node[u], node[v]), np.minimum(node[u], node[v]))
+                held.append((node[np.concatenate(us)], node[np.concatenate(vs)]))
+                if sum(len(a) for a, _ in held) > _EDGES:
+                    held = [_forest(*map(np.concatenate, zip(*held, strict=True)))]
+                    if len(held[0][0]) > _EDGES // 2:
+                        yield out(*held.pop())
+        if held:
+            a, b = _forest(*map(np.concatenate, zip(*held, strict=True)))
+            if len(a):
+                yield out(a, b)
         none = pa.nulls(1, pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, *(pa.array([int(c)]) for c in counts)], _LINKS_NAMES)
 
@@ -383,7 +401,7 @@ def _met(distinct: DataFrame, ring: Ring) -> Iterator[DataFrame]:
 
 
 def links(distinct: DataFrame, ring: Ring = NARROW) -> DataFrame:
-    """Edges (a, b), a > b, that connect (fp, more) rows that the ring calls near, by node(fp, more); few for each pair of near groups."""
+    """Edges (a, b), a > b, that connect (fp, more) rows that the ring calls near, by node(fp, more): at most one a node from each task (of _EDGES edges)."""
     found = list(_met(distinct, ring))
     edges = found[0]
     for more in found[1:]:

@@ -113,6 +113,27 @@ def test_overfull_keys_are_divided(spark, most):
     assert len(set().union(*groups.values())) == len(groups)
 
 
+@pytest.mark.parametrize("ring", RINGS)
+@pytest.mark.parametrize("most", [1 << 18, 100])
+def test_a_task_links_a_group_by_a_forest(ring, most, monkeypatch):
+    """Edges don't grow with the square of a group, nor by key."""
+    monkeypatch.setattr(S, "_EDGES", most)
+    rng = random.Random(5)
+    groups = [[rng.getrandbits(64)] for _ in range(4)]
+    for g, size in zip(groups, (2, 30, 60, 300)):
+        g += [g[0] ^ sum(1 << b for b in rng.sample(range(64), 2)) for _ in range(size)]
+    fps = sorted({f for g in groups for f in g})
+    rows = S.pa.record_batch([S.pa.array(np.array(fps, np.uint64).view(np.int64)), S.pa.array(np.zeros(len(fps), np.int64))], ["fp", "more"])
+    keyed = S.pa.Table.from_batches(S._keyed(ring)([rows])).sort_by("key").combine_chunks().to_batches()
+    edges = [(a, b) for o in S._link(ring, True)(keyed) for a, b in zip(o["a"].to_pylist(), o["b"].to_pylist()) if b is not None]
+    assert all(a > b for a, b in edges)
+    if most > len(fps):
+        assert len(edges) == len(fps) - len(groups)
+    at = {int(np.uint64(f).view(np.int64)): i for i, f in enumerate(fps)}
+    label = S._labels(len(fps), *(np.array([at[e[i]] for e in edges]) for i in (0, 1)))
+    assert sorted(tuple(sorted({fps[i] for i in np.flatnonzero(label == x)})) for x in set(label)) == sorted(tuple(sorted(set(g))) for g in groups)
+
+
 def test_counts_of_candidates(spark):
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(60)]
