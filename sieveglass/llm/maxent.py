@@ -6,7 +6,7 @@ the word before, the pair of both and the third word back (skips). For the first
 each is hashed to one of ROWS weight rows of CLASSES columns. For the second the
 units of a class are the leaves of a Huffman tree; each of its decisions is a
 log-linear model of two outcomes, and each feature at each node is hashed to one
-of NODE_ROWS weights. A frequent word is a unit of its own; the others share one
+of NODE_ROWS weights (tabulated: a context's bits against a node's). A frequent word is a unit of its own; the others share one
 by their endings, of which the third factor is their share, from exact counts
 over all training documents, with a slot for a word never seen. Classes group
 words by their neighbours.
@@ -63,9 +63,13 @@ _AT_ONCE = 1 << 16
 _FLUSH = 250_000
 #: Numbers in a block of sums, and tasks whose blocks one task adds up.
 _BLOCK, _FAN = 1 << 17, 16
-#: Weights of the decisions within classes, and tokens whose decisions are in memory at once.
+#: Weights of the decisions within classes; a context's weights at _LEVELS levels of a subtree are neighbours in memory.
 NODE_ROWS = 1 << 21
-_NODES_AT_ONCE = 1 << 14
+_LEVELS = 3
+#: Tokens whose classes' shares are made, and summed, at once: what they take stays in a core's cache.
+_SHARES_AT_ONCE, _SUMS_AT_ONCE, _NODES_AT_ONCE = 1 << 11, 1 << 13, 1 << 16
+#: Tokens of which equal pairs of feature and unit are counted first.
+_COUNTED_AT_ONCE = 1 << 21
 
 
 def unit_of(word: bytes, index: int) -> int:
@@ -131,15 +135,14 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, DataFra
 
 #: Starts before each text in arrays of units.
 _START = UNITS + SUFFIXES
-#: A row is a chunk of whole texts (arrays of their units, lengths, ids, whether to learn from them, known tokens, log10 counts) or a word outside the head: the text's key, the word and how often.
-_CHUNK = "key long, units binary, size binary, doc binary, named binary, learns binary, known binary, base binary, word binary, tf long"
+#: A row is a chunk of whole texts: arrays of their units, lengths, ids, whether to learn from them, known tokens and log10 counts; words outside the head, parted by a space, with the text and how often.
+_CHUNK = "key long, units binary, size binary, doc binary, named binary, learns binary, known binary, base binary, word binary, owner binary, tf binary"
 
 
 def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Rows of _CHUNK of (text) rows; also of their doc_id and of learns, where they have them. A text's key is its chunk's and its place in it."""
     shared = rows.sparkSession.sparkContext.broadcast(vocab)
     names = [c.split()[0] for c in _CHUNK.split(", ")]
-    kinds = [pa.int64(), *[pa.binary()] * 8, pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
@@ -163,13 +166,10 @@ def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
                 ids, learns = (b.column(k).slice(first, len(n)) for k in (1, 2))
                 parts = [padded, n.astype(np.int32), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False), learns.to_numpy(zero_copy_only=False).astype(bool)]
                 parts += [np.add.reduceat((at >= 0).astype(np.int32), start).astype(np.int32), np.add.reduceat(log_count[at], start)]
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip([key, *(p.tobytes() for p in parts), None, None], kinds, strict=True)], names)
                 rest = np.flatnonzero(at < 0)
-                if len(rest):
-                    owner = np.searchsorted(start, rest, "right") - 1
-                    tf = Counter(zip(owner.tolist(), map(toks.__getitem__, rest.tolist())))
-                    none = pa.nulls(len(tf), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(key + np.array([o for o, _ in tf])), *[none] * 7, pa.array([w for _, w in tf], pa.binary()), pa.array(tf.values(), pa.int64())], names)
+                tf = Counter(zip((np.searchsorted(start, rest, "right") - 1).tolist(), map(toks.__getitem__, rest.tolist())))
+                rare = [b" ".join([w for _, w in tf]), np.array([o for o, _ in tf], np.int32).tobytes(), np.array(list(tf.values()), np.int32).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), *(pa.array([x], pa.binary()) for x in [*(p.tobytes() for p in parts), *rare])], names)
                 key += len(n)
                 first, size, toks = i + 1, [], []
 
@@ -181,7 +181,7 @@ def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
 
 def training(chunks: DataFrame) -> DataFrame:
     """(units, size, learns) of the chunks."""
-    return chunks.where("word is null").select("units", "size", "learns")
+    return chunks.select("units", "size", "learns")
 
 
 def _places(padded: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> Iterator[np.ndarray]:
@@ -207,21 +207,25 @@ def _fewer(rows: DataFrame, by: int) -> DataFrame:
     return rows.coalesce(max(1, -(-rows.rdd.getNumPartitions() // by)))
 
 
-def contexts(padded: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the features of each token's context."""
+def _values(padded: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """The features of each token's context, as numbers."""
+    one, two, three = padded[place - 1], padded[place - 2], padded[place - 3]
+    return [one, two, one << 20 | two, three]
 
-    def hashed(x: np.ndarray, salt: int) -> np.ndarray:
-        h = (x.astype(np.uint64) * np.uint64(4) + np.uint64(salt) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        return (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
 
-    one, two, three = padded[place - 1], padded[place - 2], padded[place - 3]
-    return [hashed(one, 0), hashed(two, 1), hashed(one << 20 | two, 2), hashed(three, 3)]
+def _hashed(x: np.ndarray, salt: int) -> np.ndarray:
+    h = (x.astype(np.uint64) * np.uint64(4) + np.uint64(salt) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _top(h: np.ndarray, rows: int) -> np.ndarray:
+    """The highest bits of hashes, as many as number `rows`."""
+    return (h >> np.uint64(64 - int(rows).bit_length() + 1)).astype(np.int64)
 
 
-def features(padded: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+def features(padded: np.ndarray, place: np.ndarray, rows: int | None = None) -> list[np.ndarray]:
     """Weight rows of each token's context."""
-    shift = np.uint64(64 - int(ROWS).bit_length() + 1)
-    return [(h >> shift).astype(np.int64) for h in contexts(padded, place)]
+    return [_top(_hashed(x, k), rows or ROWS) for k, x in enumerate(_values(padded, place))]
 
 
 @dataclass
@@ -231,32 +235,40 @@ class Tree:
     at: np.ndarray
     node: np.ndarray
     side: np.ndarray
-    odds: np.ndarray  # of side 1 by mass, natural log, a node each
+    odds: np.ndarray  # of side 1 by mass, natural log, a decision each
+    row: np.ndarray  # a decision's weight is in this row, with the bits of the context's hash turned over
+    rank: np.ndarray  # units by falling number of decisions
     mass: np.ndarray  # counts of the unit's words and the smoothing
     weights: np.ndarray
 
+    def levels(self, unit: np.ndarray, contexts: list[np.ndarray], by_side: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """(numbers of units that have so many decisions, their decisions, weight rows by context) of each level; by_side: rows of side 1 stand NODE_ROWS higher."""
+        row = self.row | self.side * np.int64(NODE_ROWS) if by_side else self.row
+        for a in range(0, len(unit), _NODES_AT_ONCE):
+            some = unit[a : a + _NODES_AT_ONCE]
+            order = np.argsort(self.rank[some], kind="stable")  # longest first, equal ones side by side
+            some = some[order]
+            first, own = self.at[some], [c[a : a + _NODES_AT_ONCE][order] for c in contexts]
+            have = len(some) - np.cumsum(np.bincount(self.at[some + 1] - first))
+            for level, m in enumerate(have[:-1].tolist()):
+                step = first[:m] + level
+                bits = row[step]
+                yield a + order[:m], step, [c[:m] ^ bits for c in own]
+
     def decisions(self, padded: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """(number of the token in place, side, weight rows by feature, log odds of side 1) of all decisions, some tokens at a time."""
-        shift = np.uint64(64 - int(NODE_ROWS).bit_length() + 1)
-        for a in range(0, len(place), _NODES_AT_ONCE):
-            some = place[a : a + _NODES_AT_ONCE]
-            unit = padded[some]
-            first, n = self.at[unit], self.at[unit + 1] - self.at[unit]
-            owner = np.repeat(np.arange(len(some)), n)
-            step = np.arange(len(owner)) + np.repeat(first - np.cumsum(n) + n, n)
-            node = self.node[step]
-            salt = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-            rows = [(((h[owner] ^ salt) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64) for h in contexts(padded, some)]
-            z = self.odds[node]
+        """(numbers of tokens in place, their decisions, weight rows by feature, log odds of side 1) of all decisions, some at a time."""
+        for owner, step, rows in self.levels(padded[place], features(padded, place, NODE_ROWS)):
+            z = self.odds[step]
             for r in rows:
-                z += self.weights[r]
-            yield a + owner, self.side[step], rows, z
+                z += np.take(self.weights, r, mode="clip")
+            yield owner, step, rows, z
 
     def log(self, padded: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Natural log probability of each token's unit, given its class and context."""
         out = np.zeros(len(place))
-        for owner, side, _, z in self.decisions(padded, place):
-            out += np.bincount(owner, -np.logaddexp(0, np.where(side, -z, z)), len(place))
+        for owner, step, _, z in self.decisions(padded, place):
+            z = np.where(self.side[step], z, -z)
+            out[owner] += np.minimum(z, 0) - np.log(1 + np.exp(-np.abs(z)))
         return out
 
 
@@ -282,7 +294,18 @@ def tree(klass: np.ndarray, mass: np.ndarray) -> Tree:
     units, nodes, sides = map(np.concatenate, zip(*found, strict=True))
     order = np.argsort(units, kind="stable")
     start = np.r_[0, np.cumsum(np.bincount(units, minlength=n + 1))]
-    return Tree(start, nodes[order].astype(np.int32), sides[order], np.array(odds, np.float32), mass, np.zeros(NODE_ROWS, np.float32))
+    # a decision is known by the top of its subtree of _LEVELS levels and its place there
+    parent, depth = up[n : n + len(odds)] - n, np.zeros(len(odds), np.int64)
+    top, place = np.arange(len(odds)), np.zeros(len(odds), np.int64)
+    for x in reversed(range(len(odds))):  # parents come after their children
+        if (y := parent[x]) >= 0:
+            depth[x] = depth[y] + 1
+            if depth[x] % _LEVELS:
+                top[x], place[x] = top[y], 2 * place[y] + 1 + side[n + x]
+    row = _top(_hashed(top, _FEATURES), NODE_ROWS >> _LEVELS) << _LEVELS | place
+    nodes, rank = nodes[order], np.empty(n, np.uint16)
+    rank[np.argsort(-np.diff(start)[:n], kind="stable")] = np.arange(n)
+    return Tree(start, nodes.astype(np.int32), sides[order], np.array(odds, np.float32)[nodes], row[nodes], rank, mass, np.zeros(NODE_ROWS, np.float32))
 
 
 @dataclass
@@ -298,24 +321,30 @@ class Model:
         # e to the sum of four weights is a product of table entries
         self._factor, self._base = np.exp(self.weights), np.exp(self.bias)
 
-    def _products(self, feats: list[np.ndarray]) -> np.ndarray:
-        z = np.take(self._factor, feats[0], axis=0, mode="clip")
-        more = np.empty_like(z)
-        for f in feats[1:]:
-            z *= np.take(self._factor, f, axis=0, out=more, mode="clip")
-        z *= self._base
-        return z
+    def _products(self, feats: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray]]:
+        """The classes' shares before they are divided by their sum, some tokens at a time; the array is used again."""
+        held, more = np.empty((2, min(len(feats[0]), _SHARES_AT_ONCE), CLASSES), np.float32)
+        for a in range(0, len(feats[0]), _SHARES_AT_ONCE):
+            part = slice(a, min(a + _SHARES_AT_ONCE, len(feats[0])))
+            z = np.take(self._factor, feats[0][part], axis=0, out=held[: part.stop - a], mode="clip")
+            for f in feats[1:]:
+                z *= np.take(self._factor, f[part], axis=0, out=more[: len(z)], mode="clip")
+            z *= self._base
+            yield part, z
 
     def class_share(self, feats: list[np.ndarray]) -> np.ndarray:
         """Probabilities of the classes."""
-        z = self._products(feats)
-        z /= (z @ np.ones(CLASSES, np.float32))[:, None]
-        return z
+        out = np.empty((len(feats[0]), CLASSES), np.float32)
+        for part, z in self._products(feats):
+            np.divide(z, (z @ np.ones(CLASSES, np.float32))[:, None], out=out[part])
+        return out
 
     def class_log(self, feats: list[np.ndarray], klass: np.ndarray) -> np.ndarray:
         """Natural log probability of each token's class."""
-        z = self._products(feats)
-        return np.log(z[np.arange(len(klass)), klass]) - np.log(z @ np.ones(CLASSES, np.float32))
+        out = np.empty(len(klass), np.float32)
+        for part, z in self._products(feats):
+            out[part] = np.log(z[np.arange(len(z)), klass[part]]) - np.log(z @ np.ones(CLASSES, np.float32))
+        return out
 
 
 def _blocks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -352,14 +381,17 @@ def _gather(units: DataFrame, model: Model, expected: bool) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         klass, bias, weights = shared.value
         m = Model(None, klass, bias, None, weights)
-        total = np.zeros((CLASSES, ROWS))
+        total, held = np.zeros((CLASSES, ROWS)), np.empty((CLASSES, _SUMS_AT_ONCE))
         for padded, place in _arrays(batches):
             feats = features(padded, place)
             if expected:
-                p = np.ascontiguousarray(m.class_share(feats).T)
-                for f in feats:
-                    for k in range(CLASSES):
-                        total[k] += np.bincount(f, p[k], ROWS)
+                for a in range(0, len(place), _SUMS_AT_ONCE):
+                    some = [f[a : a + _SUMS_AT_ONCE] for f in feats]
+                    p = held[:, : len(some[0])]
+                    p[:] = m.class_share(some).T
+                    for f in some:
+                        for k in range(CLASSES):
+                            np.add.at(total[k], f, p[k])
             else:
                 own = m.klass[padded[place]] * ROWS
                 for f in feats:
@@ -370,21 +402,50 @@ def _gather(units: DataFrame, model: Model, expected: bool) -> np.ndarray:
     return _add_up(rows.mapInArrow(run, _SUMS), rows.rdd.getNumPartitions(), ROWS * CLASSES).reshape(ROWS, CLASSES)
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(unit, hash of a feature before it, how often) of the tokens to learn from, once for each different pair of some of them."""
+
+    def counted(held: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for salt, kind in enumerate((np.uint32, np.uint32, np.uint64, np.uint32)):
+            key, n = np.unique(np.concatenate([x[salt].astype(kind) << kind(16) | x[-1].astype(kind) for x in held]), return_counts=True)
+            for a in range(0, len(key), 8 * _AT_ONCE):
+                some = key[a : a + 8 * _AT_ONCE].astype(np.int64)
+                value = some >> 16
+                yield some & 0xFFFF, _hashed((value >> 16) << 20 | value & 0xFFFF if salt == 2 else value, salt), n[a : a + 8 * _AT_ONCE].astype(np.float64)
+
+    held, size = [], 0
+    for padded, place in _arrays(batches):
+        own = [padded[place - k].astype(np.uint16) for k in (1, 2, 3, 0)]
+        held.append([own[0], own[1], own[0].astype(np.uint32) << np.uint32(16) | own[1], *own[2:]])
+        size += len(place)
+        if size >= _COUNTED_AT_ONCE:
+            yield from counted(held)
+            held, size = [], 0
+    if held:
+        yield from counted(held)
+
+
 def _gather_decisions(units: DataFrame, tree: Tree, observed: bool) -> np.ndarray:
-    """By weight, over the decisions of all texts: how often side 1 is expected; with observed, after that how many there are and how often side 1 is taken."""
+    """By weight, over the decisions of all texts: how often side 1 is expected; or else, of a tree without weights, that, how many there are and how often side 1 is taken."""
     shared = units.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         total = np.zeros((3 if observed else 1, NODE_ROWS))
-        for padded, place in _arrays(batches):
-            for _, side, rows, z in t.decisions(padded, place):
-                p = (1 / (1 + np.exp(-z))).astype(np.float64)
-                for r in rows:
-                    np.add.at(total[0], r, p)
-                    if observed:
-                        np.add.at(total[1], r, 1.0)
-                        np.add.at(total[2], r[side], 1.0)
+        if observed:  # without weights a decision's odds are the same in all contexts
+            p, sides = 1 / (1 + np.exp(-t.odds)), total[1:].reshape(-1)
+            for unit, h, n in _pairs(batches):
+                for owner, step, (r,) in t.levels(unit, [_top(h, NODE_ROWS)], True):
+                    times = n[owner]
+                    np.add.at(sides, r, times)
+                    np.add.at(total[0], r & NODE_ROWS - 1, times * p[step])
+            total[1] += total[2]
+        else:
+            for padded, place in _arrays(batches):
+                for _, _, rows, z in t.decisions(padded, place):
+                    p = (1 / (1 + np.exp(-z))).astype(np.float64)
+                    for r in rows:
+                        np.add.at(total[0], r, p)
         yield from _blocks(total)
 
     rows = _fewer(units, 4)
@@ -501,8 +562,15 @@ def scores(chunks: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
                     [pa.array(key + np.arange(len(size))), pa.array(doc, mask=~named), pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(np.add.reduceat(np.concatenate(gain), start))], names
                 )
 
-    ours = checkpointed(chunks.where("word is null").select("key", "units", "size", "doc", "named", "known", "base").mapInArrow(run, _PART))
-    rare = chunks.where("word is not null").select("key", "word", "tf").join(tail, "word", "left")
+    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, word, *rest in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                owner, tf = (np.frombuffer(x, np.int32).astype(np.int64) for x in rest)
+                if len(tf):
+                    yield pa.RecordBatch.from_arrays([pa.array(key + owner), pa.array(word.split(b" "), pa.binary()), pa.array(tf)], ["key", "word", "tf"])
+
+    ours = checkpointed(chunks.select("key", "units", "size", "doc", "named", "known", "base").mapInArrow(run, _PART))
+    rare = chunks.select("key", "word", "owner", "tf").mapInArrow(unknown, "key long, word binary, tf long").join(tail, "word", "left")
     c = F.coalesce("c", F.lit(0))
     rare = rare.select("key", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n"), F.when(c > 0, F.col("tf")).otherwise(0).alias("known"), (F.col("tf") * F.log10(c + F.lit(ALPHA))).alias("s"), F.lit(None).cast("double").alias("gain"))
     got = ours.unionByName(rare).groupBy("key").agg(*(f(x).alias(x) for f, x in ((F.max, "doc_id"), (F.max, "n"), (F.sum, "known"), (F.sum, "s"), (F.max, "gain"))))

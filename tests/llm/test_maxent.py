@@ -146,3 +146,46 @@ def test_decisions_are_counted_over_all_training_documents(spark):
     base, every, taken = M._gather_decisions(units, M.tree(model.klass, model.tree.mass), True)
     assert every.sum() == n and taken.sum() == ones
     assert base.sum() == pytest.approx(ones, rel=0.01)  # masses are counts and the smoothing
+
+
+def test_observed_decisions_are_those_of_plain_counting(spark, monkeypatch):
+    """Equal pairs of feature and unit are counted first, some tokens at a time; the weight rows are those that updates and scores use."""
+    model, _, chunks = M.train(spark.createDataFrame(corpus(40), "doc_id long, text string").repartition(3), head=30)
+    batches, bare = M.training(chunks).toArrow().to_batches(), M.tree(model.klass, model.tree.mass)
+    want = np.zeros((3, M.NODE_ROWS))
+    for padded, place in M._arrays(batches):
+        for _, step, rows, z in bare.decisions(padded, place):
+            for r in rows:
+                for x, v in enumerate((1 / (1 + np.exp(-z)), 1.0, bare.side[step])):
+                    np.add.at(want[x], r, v)
+    assert np.allclose(M._gather_decisions(M.training(chunks), bare, True), want, rtol=1e-4)
+    monkeypatch.setattr(M, "_COUNTED_AT_ONCE", 1000)
+    pairs = [(u, h, c) for unit, hashes, n in M._pairs(iter(batches)) for u, h, c in zip(unit.tolist(), hashes.tolist(), n.tolist())]
+    assert sum(c for *_, c in pairs) == 4 * tokens_of(corpus(40)) > len(pairs)
+
+
+def test_a_context_has_the_weights_of_a_subtree_side_by_side():
+    rng = np.random.default_rng(3)
+    t = M.tree(rng.integers(0, M.CLASSES, M.UNITS + M.SUFFIXES + 1), rng.random(M.UNITS + M.SUFFIXES) * (rng.random(M.UNITS + M.SUFFIXES) < 0.1))
+    n = np.diff(t.at)
+    unit = int(n.argmax())
+    row = t.row[t.at[unit] : t.at[unit + 1]][::-1]  # from the root
+    assert n.max() > 6 and (row[:6].reshape(2, 3) >> M._LEVELS == row[[0, 3], None] >> M._LEVELS).all()
+    assert len(set(row.tolist())) == len(row) and len(np.unique(row[:3] & 7)) == 3
+    assert (np.diff(n[np.argsort(t.rank)]) <= 0).all()
+    met = np.zeros(len(n) - 1, np.int64)
+    for owner, step, _ in t.levels(np.arange(len(n) - 1), [np.zeros(len(n) - 1, np.int64)]):
+        met[owner] += 1
+        assert (t.at[owner] <= step).all() and (step < t.at[owner + 1]).all()
+    assert (met == n[:-1]).all()
+
+
+def test_rows_of_chunks_hold_their_rare_words(spark):
+    """Passes over the training documents read a row a chunk, and none for each rare word."""
+    vocab = M.Vocabulary({b"a": 0}, np.array([9]), np.array([0, 0]), 9, 1)
+    chunks = M.encoded(spark.createDataFrame([("a x y x",), (None,), ("y a",)], "text string").repartition(1), vocab)
+    assert chunks.count() == M.training(chunks).count() == 1
+    (r,) = chunks.collect()
+    found = sorted(zip(np.frombuffer(r.owner, np.int32).tolist(), bytes(r.word).split(b" "), np.frombuffer(r.tf, np.int32).tolist()))
+    assert sum(n for *_, n in found) == 4 + 3 and len(found) == 6
+    assert sorted(Counter(w for _, w, _ in found).items()) == [(M.END, 3), (b"x", 1), (b"y", 2)]
