@@ -6,7 +6,7 @@ the word before, the pair of both and the third word back (skips). For the first
 each is hashed to one of ROWS weight rows of CLASSES columns. For the second the
 units of a class are the leaves of a Huffman tree; each of its decisions is a
 log-linear model of two outcomes, and each feature at each node is hashed to one
-of NODE_ROWS weights (tabulated: a context's bits against a node's). A frequent word is a unit of its own; the others share one
+of NODE_ROWS weights (tabulated: a context's bits against a subtree's; its nodes' weights lie side by side). A frequent word is a unit of its own; the others share one
 by their endings, of which the third factor is their share, from exact counts
 over all training documents, with a slot for a word never seen. Classes group
 words by their neighbours.
@@ -66,8 +66,14 @@ _BLOCK, _FAN = 1 << 17, 16
 #: Weights of the decisions within classes; a context's weights at _LEVELS levels of a subtree are neighbours in memory.
 NODE_ROWS = 1 << 21
 _LEVELS = 3
-#: Tokens whose classes' shares are made, and summed, at once: what they take stays in a core's cache.
-_SHARES_AT_ONCE, _SUMS_AT_ONCE, _NODES_AT_ONCE = 1 << 11, 1 << 13, 1 << 16
+#: Places in a subtree that a path meets, for each of the four nodes it may reach on the third level (the last one is none of its). Half the contexts have them turned over, so that all places are about as full.
+_PATHS = np.array([[0, 1, 3, 7], [0, 1, 4, 7], [0, 2, 5, 7], [0, 2, 6, 7]])
+#: Log odds where a path has no decision: side 1 is never expected there, nor taken.
+_NONE = -200.0
+#: Tokens whose classes' shares are made at once, what they take stays in a core's cache; tokens whose decisions are.
+_SHARES_AT_ONCE, _NODES_AT_ONCE = 1 << 11, 1 << 16
+#: Tokens, about, whose sums are single precision before they are added to those in double.
+_SINGLE = 1 << 18
 #: Tokens of which equal pairs of feature and unit are counted first.
 _COUNTED_AT_ONCE = 1 << 21
 
@@ -202,6 +208,20 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
                 yield padded, place
 
 
+def _some(arrays: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """The arrays in runs of about _SINGLE tokens; each is to be read before the next."""
+
+    def run(at: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield at
+        n = len(at[1])
+        while n < _SINGLE and (more := next(arrays, None)):
+            n += len(more[1])
+            yield more
+
+    while first := next(arrays, None):
+        yield run(first)
+
+
 def _fewer(rows: DataFrame, by: int) -> DataFrame:
     """Tasks of `by` partitions each, for sums of a fixed size that are cheap to gather; a task's share of the rows stays the same at any size."""
     return rows.coalesce(max(1, -(-rows.rdd.getNumPartitions() // by)))
@@ -236,25 +256,52 @@ class Tree:
     node: np.ndarray
     side: np.ndarray
     odds: np.ndarray  # of side 1 by mass, natural log, a decision each
-    row: np.ndarray  # a decision's weight is in this row, with the bits of the context's hash turned over
+    row: np.ndarray  # a decision's weight is in this row, with the bits of the context's hash turned over; of its place in the subtree all or none
     rank: np.ndarray  # units by falling number of decisions
     mass: np.ndarray  # counts of the unit's words and the smoothing
     weights: np.ndarray
-
-    def levels(self, unit: np.ndarray, contexts: list[np.ndarray], by_side: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """(numbers of units that have so many decisions, their decisions, weight rows by context) of each level; by_side: rows of side 1 stand NODE_ROWS higher."""
-        row = self.row | self.side * np.int64(NODE_ROWS) if by_side else self.row
+    # unit u's paths through subtrees are path_at[u]:path_at[u + 1], up to _LEVELS decisions each
+    path_at: np.ndarray
+    path_row: np.ndarray  # eight to a subtree, four for either half of the contexts
+    path_odds: np.ndarray  # by level
+    path_sign: np.ndarray  # 1 for side 1, else -1
+
+    def _walk(self, at: np.ndarray, row: np.ndarray, unit: np.ndarray, contexts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """(numbers of units that have so many steps, their steps, rows by context) for each number; unit u's are at[u]:at[u + 1]."""
         for a in range(0, len(unit), _NODES_AT_ONCE):
             some = unit[a : a + _NODES_AT_ONCE]
             order = np.argsort(self.rank[some], kind="stable")  # longest first, equal ones side by side
             some = some[order]
-            first, own = self.at[some], [c[a : a + _NODES_AT_ONCE][order] for c in contexts]
-            have = len(some) - np.cumsum(np.bincount(self.at[some + 1] - first))
+            first, own = at[some], [c[a : a + _NODES_AT_ONCE][order] for c in contexts]
+            have = len(some) - np.cumsum(np.bincount(at[some + 1] - first))
             for level, m in enumerate(have[:-1].tolist()):
                 step = first[:m] + level
                 bits = row[step]
                 yield a + order[:m], step, [c[:m] ^ bits for c in own]
 
+    def levels(self, unit: np.ndarray, contexts: list[np.ndarray], by_side: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """(numbers of units that have so many decisions, their decisions, weight rows by context) of each level; by_side: rows of side 1 stand NODE_ROWS higher."""
+        row = self.row | self.side * np.int64(NODE_ROWS) if by_side else self.row
+        return self._walk(self.at, row, unit, [c >> _LEVELS << _LEVELS | (c & 1) * ((1 << _LEVELS) - 1) for c in contexts])
+
+    def paths(self, padded: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(numbers of tokens in place, their paths, rows by feature, log odds of side 1 by level) of all paths through subtrees, some at a time: what decisions() gives a decision at a time."""
+        quads = self._quads()
+        for owner, step, rows in self._walk(self.path_at, self.path_row, padded[place], [c >> _LEVELS << _LEVELS | (c & 1) << 2 for c in features(padded, place, NODE_ROWS)]):
+            z = np.take(self.path_odds, step, axis=0, mode="clip")
+            for r in rows:
+                z += np.take(quads, r, mode="clip").view(np.float32).reshape(-1, 4)
+            yield owner, step, rows, z
+
+    def _quads(self) -> np.ndarray:
+        """The weights of each path in a subtree as one 16-byte number."""
+        if getattr(self, "_held", (None,))[0] is not self.weights:
+            self._held = self.weights, self.weights.reshape(-1, 1 << _LEVELS)[:, [_PATHS, 7 - _PATHS]].reshape(-1).view(np.complex128)
+        return self._held[1]
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_held"}
+
     def decisions(self, padded: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """(numbers of tokens in place, their decisions, weight rows by feature, log odds of side 1) of all decisions, some at a time."""
         for owner, step, rows in self.levels(padded[place], features(padded, place, NODE_ROWS)):
@@ -266,9 +313,9 @@ class Tree:
     def log(self, padded: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Natural log probability of each token's unit, given its class and context."""
         out = np.zeros(len(place))
-        for owner, step, _, z in self.decisions(padded, place):
-            z = np.where(self.side[step], z, -z)
-            out[owner] += np.minimum(z, 0) - np.log(1 + np.exp(-np.abs(z)))
+        for owner, step, _, z in self.paths(padded, place):
+            z *= np.take(self.path_sign, step, axis=0, mode="clip")
+            out[owner] += (np.minimum(z, 0) - np.log(1 + np.exp(-np.abs(z)))) @ np.ones(4, np.float32)
         return out
 
 
@@ -305,7 +352,16 @@ def tree(klass: np.ndarray, mass: np.ndarray) -> Tree:
     row = _top(_hashed(top, _FEATURES), NODE_ROWS >> _LEVELS) << _LEVELS | place
     nodes, rank = nodes[order], np.empty(n, np.uint16)
     rank[np.argsort(-np.diff(start)[:n], kind="stable")] = np.arange(n)
-    return Tree(start, nodes.astype(np.int32), sides[order], np.array(odds, np.float32)[nodes], row[nodes], rank, mass, np.zeros(NODE_ROWS, np.float32))
+    odds, sides = np.array(odds, np.float32)[nodes], sides[order]
+    # a unit's decisions come from below: a path's last one is its subtree's top
+    at_place = place[nodes]
+    last = at_place == 0
+    path, level = np.cumsum(last) - last, np.searchsorted([1, 3], at_place, "right")
+    path_odds, path_sign = np.full((int(last.sum()), 4), _NONE, np.float32), np.full((int(last.sum()), 4), -1, np.float32)
+    path_odds[path, level], path_sign[path, level] = odds, np.where(sides, 1, -1)
+    first = np.r_[True, last[:-1]][: len(last)]
+    reached = np.array([0, 0, 2, 0, 1, 2, 3])[at_place[first]]
+    return Tree(start, nodes.astype(np.int32), sides, odds, row[nodes], rank, mass, np.zeros(NODE_ROWS, np.float32), np.r_[0, np.cumsum(last)][start], row[nodes][first] >> _LEVELS << _LEVELS | reached, path_odds, path_sign)
 
 
 @dataclass
@@ -332,12 +388,15 @@ class Model:
             z *= self._base
             yield part, z
 
+    def shares(self, feats: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray]]:
+        """Probabilities of the classes, some tokens at a time; the array is used again."""
+        for part, z in self._products(feats):
+            z /= (z @ np.ones(CLASSES, np.float32))[:, None]
+            yield part, z
+
     def class_share(self, feats: list[np.ndarray]) -> np.ndarray:
         """Probabilities of the classes."""
-        out = np.empty((len(feats[0]), CLASSES), np.float32)
-        for part, z in self._products(feats):
-            np.divide(z, (z @ np.ones(CLASSES, np.float32))[:, None], out=out[part])
-        return out
+        return np.concatenate([p.copy() for _, p in self.shares(feats)])
 
     def class_log(self, feats: list[np.ndarray], klass: np.ndarray) -> np.ndarray:
         """Natural log probability of each token's class."""
@@ -381,20 +440,25 @@ def _gather(units: DataFrame, model: Model, expected: bool) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         klass, bias, weights = shared.value
         m = Model(None, klass, bias, None, weights)
-        total, held = np.zeros((CLASSES, ROWS)), np.empty((CLASSES, _SUMS_AT_ONCE))
-        for padded, place in _arrays(batches):
-            feats = features(padded, place)
-            if expected:
-                for a in range(0, len(place), _SUMS_AT_ONCE):
-                    some = [f[a : a + _SUMS_AT_ONCE] for f in feats]
-                    p = held[:, : len(some[0])]
-                    p[:] = m.class_share(some).T
-                    for f in some:
-                        for k in range(CLASSES):
-                            np.add.at(total[k], f, p[k])
-            else:
+        if expected:
+            # two classes are one complex number, so that one addition serves both
+            total, sums, held = np.zeros((CLASSES // 2, ROWS, 2)), np.zeros((CLASSES // 2, ROWS), np.complex64), np.empty((CLASSES // 2, _AT_ONCE), np.complex64)
+            for places in _some(_arrays(batches)):
+                for padded, place in places:
+                    feats = features(padded, place)
+                    for part, p in m.shares(feats):
+                        held[:, part] = p.view(np.complex64).T
+                    for k in range(CLASSES // 2):
+                        for f in feats:
+                            np.add.at(sums[k], f, held[k, : len(f)])
+                total += sums.view(np.float32).reshape(total.shape)
+                sums[:] = 0
+            total = total.transpose(0, 2, 1).reshape(CLASSES, ROWS)
+        else:
+            total = np.zeros((CLASSES, ROWS))
+            for padded, place in _arrays(batches):
                 own = m.klass[padded[place]] * ROWS
-                for f in feats:
+                for f in features(padded, place):
                     np.add.at(total.reshape(-1), own + f, 1.0)
         yield from _blocks(np.ascontiguousarray(total.T))
 
@@ -433,19 +497,46 @@ def _gather_decisions(units: DataFrame, tree: Tree, observed: bool) -> np.ndarra
         t = shared.value
         total = np.zeros((3 if observed else 1, NODE_ROWS))
         if observed:  # without weights a decision's odds are the same in all contexts
-            p, sides = 1 / (1 + np.exp(-t.odds)), total[1:].reshape(-1)
+            # how often and what is expected are one complex number
+            one, sums, since = (1 + 1j / (1 + np.exp(-t.odds))).astype(np.complex64), np.zeros((2, NODE_ROWS), np.complex64), 0
+
+            def settle() -> None:
+                for side, x in enumerate(sums):
+                    np.add(total[0], x.imag, out=total[0])
+                    np.add(total[1], x.real, out=total[1])
+                    if side:
+                        np.add(total[2], x.real, out=total[2])
+                sums[:] = 0
+
             for unit, h, n in _pairs(batches):
+                times = n.astype(np.float32)
                 for owner, step, (r,) in t.levels(unit, [_top(h, NODE_ROWS)], True):
-                    times = n[owner]
-                    np.add.at(sides, r, times)
-                    np.add.at(total[0], r & NODE_ROWS - 1, times * p[step])
-            total[1] += total[2]
+                    np.add.at(sums.reshape(-1), r, one[step] * times[owner])
+                since += n.sum()
+                if since >= _COUNTED_AT_ONCE:
+                    settle()
+                    since = 0
+            settle()
         else:
-            for padded, place in _arrays(batches):
-                for _, _, rows, z in t.decisions(padded, place):
-                    p = (1 / (1 + np.exp(-z))).astype(np.float64)
-                    for r in rows:
-                        np.add.at(total[0], r, p)
+            # the upper two levels of a path are one complex number
+            upper, lowest = np.zeros(NODE_ROWS >> 1, np.complex64), np.zeros(NODE_ROWS, np.float32)
+            own = total.reshape(-1, 1 << _LEVELS)
+            with np.errstate(over="ignore"):  # where a path has no decision
+                for places in _some(_arrays(batches)):
+                    for padded, place in places:
+                        for _, step, rows, z in t.paths(padded, place):
+                            p = np.reciprocal(1 + np.exp(-z))
+                            deep = np.flatnonzero(t.path_odds[step, 2] != _NONE)
+                            third = p[deep, 2]
+                            for r in rows:
+                                np.add.at(upper, r >> 1, p.view(np.complex64)[:, 0])
+                                np.add.at(lowest, r[deep], third)
+                    for turned, to in enumerate((own, own[:, ::-1])):
+                        by = upper.reshape(-1, 2, 2)[:, turned]
+                        to[:, 0] += by.real.sum(axis=1)
+                        to[:, 1:3] += by.imag
+                        to[:, 3:7] += lowest.reshape(-1, 2, 4)[:, turned]
+                    upper[:], lowest[:] = 0, 0
         yield from _blocks(total)
 
     rows = _fewer(units, 4)

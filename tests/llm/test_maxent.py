@@ -189,3 +189,72 @@ def test_rows_of_chunks_hold_their_rare_words(spark):
     found = sorted(zip(np.frombuffer(r.owner, np.int32).tolist(), bytes(r.word).split(b" "), np.frombuffer(r.tf, np.int32).tolist()))
     assert sum(n for *_, n in found) == 4 + 3 and len(found) == 6
     assert sorted(Counter(w for _, w, _ in found).items()) == [(M.END, 3), (b"x", 1), (b"y", 2)]
+
+
+def test_paths_through_subtrees_are_their_decisions():
+    rng = np.random.default_rng(4)
+    t = M.tree(rng.integers(0, M.CLASSES, M.UNITS + M.SUFFIXES + 1), rng.random(M.UNITS + M.SUFFIXES) * (rng.random(M.UNITS + M.SUFFIXES) < 0.1))
+    t.weights = rng.normal(size=M.NODE_ROWS).astype(np.float32)
+    n = np.diff(t.at)
+    padded = np.r_[5, 7, 9, np.flatnonzero(n), int(n.argmax())]
+    place = np.arange(3, len(padded))
+    want, met, odds = np.zeros(len(place)), np.zeros(len(place), int), np.zeros(len(place))
+    for owner, step, _, z in t.decisions(padded, place):
+        np.add.at(want, owner, -np.log(1 + np.exp(np.where(t.side[step], -z, z).astype(float))))
+        np.add.at(odds, owner, z)
+        np.add.at(met, owner, 1)
+    assert np.allclose(t.log(padded, place), want, rtol=1e-5)
+    assert set((n - 1) % M._LEVELS) > {0, 1}  # paths of every length
+    for owner, step, _, z in t.paths(padded, place):
+        have = t.path_odds[step] != M._NONE
+        np.subtract.at(met, owner, have.sum(axis=1))
+        np.subtract.at(odds, owner, np.where(have, z, 0).sum(axis=1))
+    assert not met.any() and np.allclose(odds, 0, atol=1e-3)
+    t.weights = np.zeros(M.NODE_ROWS, np.float32)  # what paths read follows the weights
+    assert np.allclose([np.exp(t.log(np.r_[5, 7, 9, u], np.array([3])))[0] for u in padded[-1:]], np.prod([1 / (1 + np.exp(-o if s else o)) for o, s in zip(t.odds[t.at[padded[-1]] : t.at[padded[-1] + 1]], t.side[t.at[padded[-1]] : t.at[padded[-1] + 1]])]))
+
+
+def test_sums_of_updates_are_those_of_plain_counting(spark, monkeypatch):
+    """Numbers are added in single precision, two at once, and settled every so many tokens."""
+    monkeypatch.setattr(M, "_SINGLE", 500)
+    model, _, chunks = M.train(spark.createDataFrame(corpus(40), "doc_id long, text string").repartition(3), head=30)
+    units = M.training(chunks)
+    want, shares = np.zeros(M.NODE_ROWS), np.zeros((M.ROWS, M.CLASSES))
+    for padded, place in M._arrays(units.toArrow().to_batches()):
+        for _, _, rows, z in model.tree.decisions(padded, place):
+            for r in rows:
+                np.add.at(want, r, 1 / (1 + np.exp(-z.astype(float))))
+        feats = M.features(padded, place)
+        for f in feats:
+            np.add.at(shares, f, model.class_share(feats))
+    assert np.allclose(M._gather_decisions(units, model.tree, False)[0], want, rtol=1e-4, atol=1e-5)
+    assert np.allclose(M._gather(units, model, True), shares, rtol=1e-4, atol=1e-5)
+
+
+def test_one_addition_serves_two_classes(spark, monkeypatch):
+    """The sums of an update take half as many additions as there are classes and features."""
+    model, _, chunks = M.train(spark.createDataFrame(corpus(4), "doc_id long, text string").repartition(1), head=30)
+    units, done = M.training(chunks), []
+    batches = units.toArrow().to_batches()
+
+    class Add:
+        def __call__(self, *a, **k):
+            return np.add(*a, **k)
+
+        def at(self, to, rows, x):
+            done.append(len(rows))
+            np.add.at(to, rows, x)
+
+    monkeypatch.setattr(type(units), "mapInArrow", lambda self, run, schema: list(run(iter(batches))))
+    monkeypatch.setattr(M, "_add_up", lambda blocks, *a: np.zeros(M.ROWS * M.CLASSES))
+
+    class Numpy:
+        add = Add()
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+    monkeypatch.setattr(M, "np", Numpy())
+    monkeypatch.setattr(M, "_blocks", lambda total: iter(()))
+    M._gather(units, model, True)
+    assert sum(done) == 4 * tokens_of(corpus(4)) * M.CLASSES // 2
